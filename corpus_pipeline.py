@@ -3,16 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from keystrata.llm.decontamination import find_contamination
+from keystrata.llm.near_dedup import drop_near_duplicates
+from keystrata.llm.packing import pack_documents
+from keystrata.llm.quality import classify_quality
+from keystrata.llm.secret_scan import find_secrets, labelled_samples, redacted
+from keystrata.llm.shared import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that the classifier rejects go."""
+    judged = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.filter("accepted").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each class of near duplicates stays."""
+    return drop_near_duplicates(docs).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: contaminated documents go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(~F.col("contamination")["contaminated"]).select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: all documents stay, each secret in their texts is replaced by a mark."""
+    found = find_secrets(docs, labelled_samples(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    spans = F.col("secrets")["spans"]
+    hit = F.size(spans) > 0
+    clean = F.when(hit, redacted(F.col("text"), spans)).otherwise(F.col("text"))
+    return found.withColumn("text", clean).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: the pieces of all remaining documents, with their ids."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 #: SQL can't express the trained and hashed stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and reread."""
-    from keystrata.llm.shared import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from keystrata.plans import mvcc_queries, pipeline_queries, raw_queries, region_queries, transaction_queries
 
-
-def _group_sum(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_quantity") > 24)
-    return rows.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_quantity"), 6).alias("avg_qty")
-    )
+_ALL = {}
+for _part in (pipeline_queries, mvcc_queries, raw_queries, transaction_queries, region_queries):
+    _ALL |= _part.QUERIES
 
 
 def queries() -> dict:
-    return {"cop_scan_filter_group_sum": _group_sum}
+    """Query functions (spark, sf_dir) by name."""
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "cop_scan_filter_group_sum": "SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_quantity), 6) AS avg_qty FROM lineitem WHERE l_quantity > 24 GROUP BY l_returnflag"
-    }
+    """SQL that gives the same rows."""
+    return {name: sql for name, (_, sql) in _ALL.items()}

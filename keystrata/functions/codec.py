@@ -20,7 +20,7 @@ def _inverted(binary: Column) -> Column:
 
 def encode_int64(value: Column) -> Column:
     """Eight bytes, big-endian, with the sign bit flipped."""
-    return F.unhex(_hex16(value.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))))
+    return F.unhex(_hex16(value.cast("bigint").bitwiseXOR(F.lit(f"-{1 << 63}").cast("bigint"))))
 
 
 def encode_int64_desc(value: Column) -> Column:
@@ -29,7 +29,7 @@ def encode_int64_desc(value: Column) -> Column:
 
 def decode_int64(binary: Column) -> Column:
     """Inverse of encode_int64; null unless there are eight bytes."""
-    unsigned = F.conv(F.hex(binary), 16, 10).cast("decimal(20,0)") - F.lit(1 << 63).cast("decimal(20,0)")
+    unsigned = F.conv(F.hex(binary), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
     return F.when(F.octet_length(binary) == 8, unsigned.cast("bigint"))
 
 

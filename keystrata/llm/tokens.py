@@ -7,19 +7,23 @@ import re
 
 import numpy as np
 
-#: Words whose ids one worker keeps; then it starts anew, so its memory is bounded.
-CACHE_WORDS = 300_000
-#: White space that separates words under every definition; the tokenizers used here drop it.
-_BLANKS = re.compile("[ \t\n\r]+")
+#: Words, and parts of words, whose ids one worker keeps; then it starts anew, so its memory is bounded.
+CACHE_WORDS, CACHE_PARTS = 600_000, 600_000
+#: Words of printable ASCII and Latin-1 letters, without what a tokenizer may join across kinds of characters.
+_PLAIN = re.compile(r"(?!.*<\|)[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Such a word's letters, digits and runs of other characters.
+_PARTS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space and never joins words across it.
+    """Encodes texts with a lower-casing tokenizer that drops white space and never joins across it.
 
-    Such a tokenizer gives a text the concatenated ids of its blank-separated words, so each
-    distinct word is encoded once by the tokenizers library and looked up afterwards.
+    Such a tokenizer gives a text the concatenated ids of its blank-separated words. A plain word
+    further splits where letters, digits and other characters meet, as the tokenizer itself splits
+    it; words with apostrophes (contractions), special tokens or other characters stay whole. So
+    each distinct part is encoded once by the tokenizers library and looked up afterwards.
     """
 
     def __init__(self, path: str):
@@ -28,31 +32,37 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """Ids of each text (null: empty), each followed by end_id."""
         end = np.array([end_id], self.dtype).tobytes()
         out = []
         for text in texts:
-            words = _BLANKS.split(text) if text else []
+            # Blanks, tabs and line ends separate words under every definition of white space.
+            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
             try:
-                ids = b"".join(map(self.known.__getitem__, words))
+                ids = b"".join(map(self.words.__getitem__, words))
             except KeyError:
                 self._learn(words)
-                ids = b"".join(map(self.known.__getitem__, words))
+                ids = b"".join(map(self.words.__getitem__, words))
             out.append(np.frombuffer(ids + end, self.dtype))
         return out
 
     def _learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set(words))
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        split = {w: _PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in set(words).difference(self.words)}
+        new = list({p for parts in split.values() for p in parts}.difference(self.parts))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, self.dtype).tobytes()
+            for part, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                self.parts[part] = np.array(found.ids, self.dtype).tobytes()
+        for word, parts in split.items():
+            self.words[word] = b"".join(map(self.parts.__getitem__, parts))
 
 
 def encoder(path: str) -> WordEncoder:

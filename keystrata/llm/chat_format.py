@@ -75,9 +75,8 @@ def _problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     missing = F.try_element_at("given", F.col("argument")).isNull()
     problem = F.when(missing, F.when(F.col("required"), F.concat(F.lit("missing "), "argument"))).when(~matches & ~reference, F.concat_ws(" ", F.lit("not a"), F.col("type"), F.lit("in"), F.col("argument")))
     found = each.select("conv", "call", problem.alias("problem"))
-    whole = calls.join(tools, "name", "left").select(
-        "conv", "call", F.when(F.from_json("arguments", "map<string,variant>").isNull(), "arguments aren't an object").when(F.col("is_known").isNull(), "unknown tool").alias("problem")
-    )
+    no_object = F.when(F.from_json("arguments", "map<string,variant>").isNull(), "arguments aren't an object")
+    whole = calls.join(tools, "name", "left").select("conv", "call", F.explode(F.array(no_object, F.when(F.col("is_known").isNull(), "unknown tool"))).alias("problem"))
     return found.unionByName(whole).groupBy("conv", "call").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
 
 

@@ -27,10 +27,10 @@ def _cells(pivots: np.ndarray, radius: float):
         for rows in batches:
             if not len(rows):
                 continue
-            x = np.stack(rows["v"].to_numpy())
             if not len(pivots):
                 yield rows.assign(cell=0, own=True)
                 continue
+            x = np.stack(rows["v"].to_numpy())
             away = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
             home = away.argmin(1)
             # A linked x of cell i is at most radius away: d(y, i) <= d(x, i) + r <= d(x, j) + r <= d(y, j) + 2 r.
@@ -90,7 +90,7 @@ def find_near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     block returns counts and a forest of its links, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those of null
-    label, link with nothing. A null id is like any other, but is never a component's smallest.
+    label or null id, link with nothing.
     Vectors of different length never link. Repeated rows are copies. Empty table: no rows.
     """
     spark = vectors.sparkSession

@@ -24,7 +24,8 @@ SKIP = frozenset("head nav footer aside form button dialog menu fieldset".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary center hr header hgroup".split()) | SKIP
-#: What closes an open <p>, and elements that close an open one of the same kind.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements that close an open one of the same kind.
 SELF_CLOSING = frozenset("li dt dd tr td th option".split())
 #: Names in class, id and role that mark what is never main text ...
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter subscribe signup breadcrumb breadcrumbs hidden search navigation contentinfo complementary alert alertdialog noprint".split())
@@ -54,9 +55,13 @@ def _unwanted(tag: str, attributes: str) -> bool:
     return bool(names & NEVER) or bool(names & RARELY) and not names & CONTENT
 
 
-def blocks_of(html: str) -> list[tuple[str, bool, float]]:
-    """Blocks outside skipped elements, in page order: text, whether in the article, share of link text."""
-    blocks: list[tuple[str, bool, float]] = []
+#: Text, whether it stands in the article, share of link text, and whether it is a heading.
+Block = tuple[str, bool, float, bool]
+
+
+def blocks_of(html: str) -> list[Block]:
+    """Blocks outside skipped elements, in page order."""
+    blocks: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open elements and whether their content is skipped
     opened: Counter = Counter()
     skipped = links = articles = breaks = 0
@@ -68,7 +73,7 @@ def blocks_of(html: str) -> list[tuple[str, bool, float]]:
         nonlocal linked
         if texts:
             if text := " ".join("".join(texts).split()):
-                blocks.append((text, inside, min(1.0, linked / len(text))))
+                blocks.append((text, inside, min(1.0, linked / len(text)), any(opened[h] for h in HEADINGS)))
             texts.clear()
         linked = 0
 
@@ -134,17 +139,18 @@ def blocks_of(html: str) -> list[tuple[str, bool, float]]:
     return blocks
 
 
-def labels_of(blocks: list[tuple[str, bool, float]]) -> list[bool]:
+def labels_of(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
     First pass: link density, length and stop-word density decide a block or leave a short one
     open; a page that marks its article rules out what lies outside. Second pass: an open block
-    takes the label of the nearest decided block, before or after it; where they are as near and
-    differ, or where nothing is decided, it is kept in an article only.
+    takes the label of the nearest decided block, before or after it. Where they are as near and
+    differ, a heading goes with what follows and other blocks are kept in an article only, as they
+    are where nothing is decided.
     """
-    marked = any(inside for _, inside, _ in blocks)
+    marked = any(inside for _, inside, _, _ in blocks)
     first: list[bool | None] = []
-    for text, inside, density in blocks:
+    for text, inside, density, _ in blocks:
         if marked and not inside:
             first.append(False)
             continue
@@ -173,8 +179,10 @@ def labels_of(blocks: list[tuple[str, bool, float]]) -> list[bool]:
             out[i] = first[i]
             continue
         left, right = i - before[i][0], after[0] - i
-        undecided = left == right and before[i][1] != after[1] or min(left, right) >= far
-        out[i] = blocks[i][1] if undecided else before[i][1] if left <= right else after[1]
+        if min(left, right) >= far or left == right and before[i][1] != after[1]:
+            out[i] = after[1] if blocks[i][3] and right < far else blocks[i][1]
+        else:
+            out[i] = before[i][1] if left <= right else after[1]
     return out
 
 

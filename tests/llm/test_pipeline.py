@@ -1,0 +1,46 @@
+"""The corpus pipeline, stage by stage."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from keystrata.llm.decontamination import find_contamination
+from keystrata.llm.near_dedup import near_duplicate_classes
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        assert docs.columns == before.columns
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    clean = [i for i, r in labels.items() if r.quality == 1 and r.toxic == 0]
+    assert sum(i in kept["quality"] for i in clean) > 0.97 * len(clean)
+    assert not any(i in kept["quality"] for i, r in labels.items() if r.quality == 0)
+    left = spark.createDataFrame(list(kept["near_dedup"].items()), "doc_id bigint, text string")
+    assert near_duplicate_classes(left).filter("id <> class_id").count() == 0
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = {r.doc_id for r in find_contamination(left, bench).filter(F.col("contamination.contaminated")).collect()}
+    assert set(kept["decontamination"]) == set(kept["near_dedup"]) - bad
+    assert set(kept["secrets"]) == set(kept["decontamination"])
+    assert all(kept["decontamination"][i] == t or "[SECRET]" in t for i, t in kept["secrets"].items())
+
+
+def test_run(spark, sf_dir):
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    parts = defaultdict(int)
+    for p in pieces:
+        parts[p.doc_id, p.doc_tokens] += p.length
+    assert pieces and all(n == total for (_, total), n in parts.items())
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "packing"]
+
+
+def test_odd_documents(spark, sf_dir, odd_docs, no_docs):
+    for docs in (odd_docs, no_docs):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs, sf_dir).count() >= 0

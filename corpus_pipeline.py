@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.decontamination import find_contamination
@@ -13,10 +13,15 @@ from keystrata.llm.secret_scan import find_secrets, labelled_samples, redacted
 from keystrata.llm.shared import stored
 
 
+def _added(found: DataFrame) -> Column:
+    """The column that an operator has added last, whatever its name had to be."""
+    return F.col(f"`{found.columns[-1]}`")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the classifier rejects go."""
     judged = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.filter("accepted").select(docs.columns)
+    return judged.filter(_added(judged)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: contaminated documents go."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(~F.col("contamination")["contaminated"]).select(docs.columns)
+    return found.filter(~_added(found)["contaminated"]).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: all documents stay, each secret in their texts is replaced by a mark."""
     found = find_secrets(docs, labelled_samples(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    spans = F.col("secrets")["spans"]
+    spans = _added(found)["spans"]
     hit = F.size(spans) > 0
     clean = F.when(hit, redacted(F.col("text"), spans)).otherwise(F.col("text"))
     return found.withColumn("text", clean).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)

@@ -22,25 +22,18 @@ LIKELY = 0.54
 #: Hashed features that document frequencies are counted for; fixes the size of the table that tasks get.
 FEATURES = 1 << 20
 _SLICES = 64
-#: Members of a bucket up to which all its pairs are compared; larger ones go by pivots and finer buckets.
+#: Members of a bucket up to which all its pairs are compared; larger ones go by pivots and blocks.
 SMALL = 24
-#: Bands that a finest bucket combines.
-DEPTH = 3
+#: Rows that one side of a block holds.
+BLOCK_ROWS = 512
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
-#: Quantiles of the uniform distribution, and from them of the exponential and the gamma(2, 1).
-_U = (np.arange(1 << 16) + 0.5) / (1 << 16)
-_EXP = -np.log(_U).astype(np.float32)
-_known: dict[bytes, int] = {}
-
-
-def _gamma2() -> np.ndarray:
-    """Quantiles of gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    x = np.linspace(0, 24, 1 << 18)
-    return np.interp(_U, 1 - (1 + x) * np.exp(-x), x).astype(np.float32)
-
-
-_GAMMA = _gamma2()
+#: Words of a text that are hashed at once; a longer text goes piece by piece.
+_PIECE = 1 << 16
+#: Quantiles of gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x).
+_GRID = np.linspace(0, 24, 1 << 18)
+_GAMMA = np.interp((np.arange(1 << 12) + 0.5) / (1 << 12), 1 - (1 + _GRID) * np.exp(-_GRID), _GRID).astype(np.float32)
+_powers = np.ones((2, 1), np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -50,41 +43,59 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of an odd number and of its inverse modulo 2^64, at least n of each; kept in the worker."""
+    global _powers
+    if _powers.shape[1] < n:
+        base = int(_MIX[2])
+        steps = np.full((2, 2 * n), [[base], [pow(base, -1, 1 << 64)]], np.uint64)
+        steps[:, 0] = 1
+        _powers = np.multiply.accumulate(steps, axis=1)
+    return _powers
+
+
+def _piece_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Hash of each run of `size` words, from sums of bytes times powers: runs share one pass over the text."""
+    line = np.frombuffer(b" ".join(words), np.uint8)
+    power, inverse = _powers_to(len(line) + 1)
+    upto = np.zeros(len(line) + 1, np.uint64)
+    np.cumsum((line.astype(np.uint64) + np.uint64(1)) * power[: len(line)], out=upto[1:])
+    gaps = np.flatnonzero(line == 32)
+    begins, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(line)]])
+    begins, ends = begins[: len(begins) - size + 1], ends[size - 1 :]
+    return _mix((upto[ends] - upto[begins]) * inverse[begins])
+
 
-    if len(_known) > 500_000:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+def _run_hashes(words: list[bytes]) -> np.ndarray:
+    size = min(SHINGLE, len(words))
+    runs = range(0, len(words) - size + 1, _PIECE)
+    return np.concatenate([_piece_hashes(words[i : i + _PIECE + size - 1], size) for i in runs])
 
 
-def shingles_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of a text, ascending, and how often each occurs.
+def shingles_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of a text's words, ascending, and how often each occurs.
 
     A text of fewer words is one shingle; one without words has none.
     """
-    words = words_of(text)
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h, size = _word_hashes(words), min(SHINGLE, len(words))
-    out = np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
-        out = _mix(out * _MIX[2] + h[i : i + len(out)])
-    return np.unique(out, return_counts=True)
+    return np.unique(_run_hashes(words), return_counts=True)
+
+
+def features_of(shingles: np.ndarray) -> np.ndarray:
+    """Hashed feature of each shingle; ascending, as the shingles are."""
+    return (shingles >> np.uint64(44)).astype(np.int64)
 
 
 def weights_of(shingles: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF weights: 1 + ln(count), times the feature's inverse document frequency."""
-    return ((1 + np.log(counts)) * idf[(shingles >> np.uint64(44)).astype(np.int64)]).astype(np.float32)
+    return ((1 + np.log(counts)) * idf[features_of(shingles)]).astype(np.float32)
 
 
-def fingerprint_of(text: str | None) -> str | None:
+def fingerprint_of(words: list[bytes]) -> str | None:
     """128 bits that stand for a text's sequence of words; null where it has none."""
     import xxhash
 
-    words = words_of(text)
     return xxhash.xxh3_128_hexdigest(b" ".join(words)) if words else None
 
 
@@ -99,12 +110,20 @@ def samples_of(shingles: list[np.ndarray], weights: list[np.ndarray]) -> np.ndar
     flat, log_w = np.concatenate(shingles), np.log(np.concatenate(weights))
     of = np.repeat(np.arange(len(sizes)), sizes)
     out = np.empty((len(sizes), BANDS * ROWS), np.uint32)
+    half, unit = np.float32(0.5), np.float32(1 / 65536)
     for k, seed in enumerate(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MIX[2]):
-        h = _mix(flat + seed)
+        h = flat ^ seed
+        h *= _MIX[0]
+        h ^= h >> np.uint64(32)
+        h *= _MIX[1]
         parts = h.view(np.uint16).reshape(-1, 4)
-        r, b = _GAMMA[parts[:, 0]], parts[:, 1].astype(np.float32) * np.float32(1 / 65536)
+        r = _GAMMA[parts[:, 3] >> 4]
+        b = parts[:, 2] * unit
         t = np.floor(log_w / r + b)
-        a = np.log(_EXP[parts[:, 2]] + _EXP[parts[:, 3]]) - r * (t - b + np.float32(1))
+        u = (parts[:, 0] + half) * unit
+        u *= (parts[:, 1] + half) * unit
+        a = np.log(-np.log(u))
+        a -= r * (t - b + np.float32(1))
         least = np.flatnonzero(a == np.minimum.reduceat(a, begins)[of])
         first = least[np.searchsorted(of[least], np.arange(len(sizes)))]
         out[:, k] = (_mix(h[first] + t[first].astype(np.int64).view(np.uint64) * _MIX[1]) >> np.uint64(32)).astype(np.uint32)
@@ -135,9 +154,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                s = shingles_of(text)[0]
-                if len(s):
-                    total[np.unique((s >> np.uint64(44)).astype(np.int64))] += 1
+                at = features_of(shingles_of(words_of(text))[0])
+                if len(at):
+                    total[at[np.append(True, at[1:] != at[:-1])]] += 1
                 n += 1
         if n:
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "n": pa.array([n] * _SLICES), "counts": pa.array([pack(x) for x in total.reshape(_SLICES, -1)])})
@@ -167,24 +186,25 @@ def _signed(docs: DataFrame, sent) -> DataFrame:
         held, at, room = [], [], 0
         todo = texts.to_pylist()
         for i, text in enumerate(todo):
-            s, n = shingles_of(text)
+            words = words_of(text)
+            s, n = shingles_of(words)
             if len(s):
                 held.append((s, weights_of(s, n, sent.value)))
-                at.append(i)
+                at.append((i, fingerprint_of(words)))
                 room += len(s)
             if held and (room >= 1 << 15 or i + 1 == len(todo)):  # so many values fit the processor's cache
-                for j, row in zip(at, samples_of(*map(list, zip(*held, strict=True))), strict=True):
-                    out[j] = {"fp": fingerprint_of(todo[j]), "samples": row.tobytes()}
+                for (j, fp), row in zip(at, samples_of(*map(list, zip(*held, strict=True))), strict=True):
+                    out[j] = {"fp": fp, "samples": row.tobytes()}
                 held, at, room = [], [], 0
         return pa.array(out, pa.struct([("fp", pa.string()), ("samples", pa.binary())]))
 
     return docs.select("id", sign("text").alias("s")).select("id", "s.fp", "s.samples")
 
 
-def _key(samples: Column, bands: list[Column]) -> Column:
-    """Hash of some bands' samples, with the bands' numbers."""
+def _key(samples: str, band: int) -> Column:
+    """Hash of a band's samples, with its number."""
     size = 4 * ROWS
-    return F.xxhash64(*[x for b in bands for x in (b, F.substring(samples, b * size + 1, F.lit(size)))])
+    return F.xxhash64(F.lit(band), F.substring(samples, band * size + 1, size))
 
 
 def _vectors(docs: DataFrame, sent) -> DataFrame:
@@ -194,7 +214,7 @@ def _vectors(docs: DataFrame, sent) -> DataFrame:
     def weigh(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
-            s, n = shingles_of(text)
+            s, n = shingles_of(words_of(text))
             out.append({"shingles": s.tobytes(), "weights": weights_of(s, n, sent.value).tobytes()})
         return pa.array(out, pa.struct([("shingles", pa.binary()), ("weights", pa.binary())]))
 
@@ -270,12 +290,46 @@ def _rest(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _labelled(large, labels)
     heads = labels.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
     rows = rows.join(heads, "pivot", "left").withColumn("apart", F.col("component") != F.coalesce("main", "pivot"))
-    count = rows.groupBy("key").agg(F.sum(F.col("apart").cast("long")).alias("n_apart")).filter("n_apart > 0")
-    rows = stored(rows.join(count, "key").select("key", "id", "component", "apart", "n_apart"), "dedup-rest")
+    count = rows.groupBy("key").agg(F.sum(F.col("apart").cast("long")).alias("n_apart"), F.count(F.lit(1)).alias("n")).filter("n_apart > 0")
+    rows = stored(rows.join(count, "key").select("key", "id", "component", "apart", "n_apart", "n"), "dedup-rest")
     few = rows.filter(F.col("n_apart") <= SMALL)
     mate = few.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
     pairs = few.filter("apart").join(mate, "key").filter("component <> component_b")
-    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), rows.filter(F.col("n_apart") > SMALL).select("key", "id")
+    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), rows.filter(F.col("n_apart") > SMALL).select("key", "id", "component", "n")
+
+
+def _joined(block: pd.DataFrame) -> pd.DataFrame:
+    """Of a block, links that connect what hangs together: pairs of two sides, likely by their samples, then verified.
+
+    Rows that are connected already aren't compared again, so a block returns a forest, not its pairs.
+    """
+    block = block.drop_duplicates("id")
+    ids, first = block["id"].to_numpy(), block["side"].to_numpy() < 1
+    samples = np.frombuffer(b"".join(block["samples"]), np.uint32).reshape(len(block), -1)
+    vectors = [(np.frombuffer(s, "<u8"), np.frombuffer(w, "<f4")) for s, w in zip(block["shingles"], block["weights"], strict=True)]
+    root = np.unique(block["component"].to_numpy(), return_inverse=True)[1]
+    other = np.flatnonzero(~first) if not first.all() else np.arange(len(block))
+    links = []
+    for i in np.flatnonzero(first):
+        near = other[((samples[other] == samples[i]).mean(1) >= LIKELY) & (root[other] != root[i])]
+        for j in near:
+            if root[i] != root[j] and similarity(vectors[i], vectors[j]) >= SIMILARITY:
+                root[root == root[j]] = root[i]
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def _blocks(rows: DataFrame, signed: DataFrame, docs: DataFrame, sent) -> DataFrame:
+    """Links within buckets of any size: each is cut into chunks by a hash, and each two chunks make a block."""
+    vectors = stored(_vectors(docs.join(rows.select("id").distinct(), "id", "left_semi"), sent), "dedup-vectors")
+    chunks = F.ceil(F.col("n") / BLOCK_ROWS)
+    cut = rows.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("id", "key"), chunks)})
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    cut = cut.select("key", "id", "component", "chunk", every.alias("mate"))
+    pair = {"x": F.least("chunk", "mate"), "y": F.greatest("chunk", "mate"), "side": (F.col("chunk") > F.col("mate")).cast("int")}
+    full = cut.withColumns(pair).join(signed.select("id", "samples"), "id").join(vectors, "id")
+    found = full.select("key", "x", "y", "side", "id", "component", "samples", "shingles", "weights").groupBy("key", "x", "y").applyInPandas(_joined, "a long, b long")
+    return stored(found, "dedup-links")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,9 +347,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Buckets of any size are worked off whole. Large ones are compared with pivots first, which
     settles a large group of copies in one go; where few members hang apart these meet all
     others; where many do, as with a passage that thousands of otherwise different documents
-    share, the bucket is cut into finer ones by one more band at a time (a pair of similarity
-    0.8 agrees in two bands or more with a chance of 99 %), and in the finest ones rounds of
-    pivots go on until nothing is left to compare.
+    share, the bucket is cut into blocks of a bounded size, and a block compares what isn't
+    connected yet, by samples first. So within a bucket no link is lost that connects classes.
 
     Null, empty and wordless texts have no shingles: fp is null and each is a class of its own.
     Null ids: class null, never a representative. Repeated rows: copies. Empty table: no rows.
@@ -309,35 +362,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     copies = every.filter("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.min("samples").alias("samples"))
     signed = stored(copies.select("fp", F.col("rep").alias("id"), "samples"), "dedup-classes")
     texts = source.join(signed.select("id"), "id", "left_semi").dropDuplicates(["id"]) if _repeats(every) else source.join(signed.select("id"), "id", "left_semi")
-    labels = signed.select("id", F.col("id").alias("component")).limit(0)
-    links = None
-    rows = signed.select("id", F.explode(F.array(*[_key(F.col("samples"), [F.lit(b)]) for b in range(BANDS)])).alias("key"))
-    depth = 1
-    while True:
-        shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        rows = stored(rows.join(shared, "key"), "dedup-rows")
-        if rows.isEmpty():
-            break
-        pairs, large = _pairs(_labelled(rows, labels))
-        large = stored(large, "dedup-large")
-        found = _verified(pairs, signed, texts, sent)
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        if large.isEmpty():
-            break
-        pairs, rows = _rest(large, labels)
-        found = _verified(pairs, signed, texts, sent)
-        links = links.unionByName(found)
+    alone = signed.select("id", F.col("id").alias("component")).limit(0)
+    rows = signed.select("id", F.explode(F.array(*[_key("samples", band) for band in range(BANDS)])).alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    rows = stored(rows.join(shared, "key"), "dedup-rows")
+    pairs, large = _pairs(_labelled(rows, alone))
+    large = stored(large, "dedup-large")
+    links = _verified(pairs, signed, texts, sent)
+    labels = connected_components(links)
+    if not large.isEmpty():
+        pairs, many = _rest(large, labels)
+        links = links.unionByName(_verified(pairs, signed, texts, sent))
         labels = connected_components(links)
-        if rows.isEmpty():
-            break
-        if depth < DEPTH:
-            depth += 1
-            finer = rows.join(signed.select("id", "samples"), "id")
-            rows = finer.select("id", F.explode(F.array(*[F.xxhash64("key", _key(F.col("samples"), [F.lit(b)])) for b in range(BANDS)])).alias("key")).distinct()
-        else:
-            # The pivot's comparisons are done: without it, the rest of the bucket goes on.
-            rows = rows.join(rows.groupBy("key").agg(F.min("id").alias("done")), "key").filter("id <> done").select("key", "id")
+        if not many.isEmpty():
+            links = links.unionByName(_blocks(_labelled(many.drop("component"), labels), signed, texts, sent))
+            labels = connected_components(links)
     of_class = signed.select("fp", "id").join(labels, "id", "left").select("fp", F.coalesce("component", "id").alias("class_id"))
     return every.select("id", "fp").join(of_class, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 

@@ -338,7 +338,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp, class_id): the class of every document; class_id is its smallest id.
+    """Rows (id, class_id): the class of every document; class_id is its smallest id.
 
     Texts with the same words are copies and count once from then on. Every representative gets
     samples of its weighted shingles; equal bands make buckets, from which pairs are drawn and
@@ -350,18 +350,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     share, the bucket is cut into blocks of a bounded size, and a block compares what isn't
     connected yet, by samples first. So within a bucket no link is lost that connects classes.
 
-    Null, empty and wordless texts have no shingles: fp is null and each is a class of its own.
-    Null ids: class null, never a representative. Repeated rows: copies. Empty table: no rows.
+    Null, empty and wordless texts have no shingles: each is a class of its own. Null ids: class
+    null, never a representative. Rows that repeat an id are one document, for which the greatest
+    text stands. Empty table: no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = rows.filter("id is not null")
+    if not source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        source = stored(source.groupBy("id").agg(F.max("text").alias("text")), "dedup-documents")
+    every_id = rows.select("id")
     idf, _ = document_frequencies(source)
     sent = spark.sparkContext.broadcast(idf)
     every = stored(_signed(source, sent), "dedup-samples")
-    copies = every.filter("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.min("samples").alias("samples"))
+    copies = every.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.min("samples").alias("samples"))
     signed = stored(copies.select("fp", F.col("rep").alias("id"), "samples"), "dedup-classes")
-    texts = source.join(signed.select("id"), "id", "left_semi").dropDuplicates(["id"]) if _repeats(every) else source.join(signed.select("id"), "id", "left_semi")
+    texts = source.join(signed.select("id"), "id", "left_semi")
     alone = signed.select("id", F.col("id").alias("component")).limit(0)
     rows = signed.select("id", F.explode(F.array(*[_key("samples", band) for band in range(BANDS)])).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -378,12 +383,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             links = links.unionByName(_blocks(_labelled(many.drop("component"), labels), signed, texts, sent))
             labels = connected_components(links)
     of_class = signed.select("fp", "id").join(labels, "id", "left").select("fp", F.coalesce("component", "id").alias("class_id"))
-    return every.select("id", "fp").join(of_class, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
-
-
-def _repeats(every: DataFrame) -> bool:
-    """Whether an id occurs with more than one text."""
-    return not every.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id is not null").isEmpty()
+    classes = every.select("id", "fp").join(of_class, "fp").select("id", "class_id")
+    return every_id.join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

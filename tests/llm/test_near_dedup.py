@@ -73,6 +73,12 @@ def test_odd_documents(odd_docs, no_docs):
     assert N.near_duplicate_classes(no_docs).count() == 0
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b = prose(1, 50), prose(2, 50)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, min(a, b)), (3, max(a, b)), (None, a)], "doc_id bigint, text string")
+    assert sorted(((r.id, r.class_id) for r in N.near_duplicate_classes(docs).collect()), key=str) == [(1, 1), (1, 1), (2, 2), (3, 1), (None, None)]
+
+
 def test_samples_estimate_the_similarity():
     a, b = N.shingles_of(words_of(prose(1, 400))), N.shingles_of(words_of(_edited(prose(1, 400), 5, 0.02)))
     idf = np.ones(N.FEATURES, np.float32)

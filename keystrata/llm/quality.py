@@ -15,8 +15,13 @@ from keystrata.llm.shared import bounded_batches, fresh, stored, words_of
 
 #: Labelled documents that the classifier is fitted on, chosen by a hash of their id.
 SAMPLE_ROWS = 20_000
-#: Marker words: in so many labelled documents at least, with so large a log odds ratio; the strongest so many.
-MARKER_DOCS, MARKER_LOG_ODDS, MARKERS = 10, 3.0, 200
+#: Markers are words and word beginnings of so many characters, which cover a language's inflections ...
+STEM_CHARS = range(4, 9)
+#: ... in so many toxic (or bad) documents at least, with so large a log odds ratio. They must also be
+#: unlikely by chance: a likelihood ratio of e^8 against the base rate.
+MARKER_DOCS, MARKER_LOG_ODDS, MARKER_LOG_RATIO = 3, 2.0, 8.0
+#: Words whose marker a worker keeps at once.
+_KNOWN_WORDS = 1 << 18
 #: Strength of the ridge penalty on standardised weights.
 RIDGE = 1.0
 #: Documents are accepted from this posterior on.
@@ -32,8 +37,31 @@ _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 FEATURES = ("log_words", "upper", "symbols", "exclaimed", "bars", "digits", "stop_words", "top_word", "repeats", "repeated_lines", "word_bytes", "markers", "marked")
 
 
+def terms_of(word: bytes) -> list[bytes]:
+    """A word and its beginnings, which end in "*"."""
+    letters = word.decode()
+    return [word, *(letters[:k].encode() + b"*" for k in STEM_CHARS if k <= len(letters))]
+
+
+class Markers(dict):
+    """Log odds by marker; for words, which are looked up once and kept, that of their strongest marker or 0."""
+
+    def __init__(self, terms: dict[bytes, float]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        self[word] = found = max(self.terms.get(t, 0.0) for t in terms_of(word))
+        return found
+
+    def __reduce__(self):
+        return Markers, (self.terms,)
+
+
 def features_of(text: str | None, markers: dict[bytes, float]) -> list[float]:
-    """Of a whole text: shares of kinds of characters and words, repetition, and marker words."""
+    """Of a whole text: shares of kinds of characters and words, repetition, and markers."""
     raw = (text or "").encode()
     words = words_of(text)
     n, size = max(len(words), 1), max(len(raw), 1)
@@ -41,7 +69,7 @@ def features_of(text: str | None, markers: dict[bytes, float]) -> list[float]:
     upper = int(bytes_[_UPPER].sum())
     counts = Counter(words)
     lines = [line for line in (text or "").split("\n") if line.strip()]
-    found = sum(markers[w] for w in counts.keys() & markers.keys())
+    found = sum(map(markers.__getitem__, counts)) if isinstance(markers, Markers) else sum(markers[w] for w in counts.keys() & markers.keys())
     return [
         float(np.log1p(len(words))),
         upper / max(upper + int(bytes_[_LOWER].sum()), 1),
@@ -73,31 +101,40 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _marker_odds(k: Column, n: Column, bad: int, docs: int) -> Column:
+    """Smoothed log odds ratio of a term in k bad ones of n documents; null for no marker."""
+    odds = F.log((k + 0.5) / (bad + 1.0)) - F.log((n - k + 0.5) / (docs - bad + 1.0))
+    rate, base = k / n, bad / docs
+    chance = k * F.log(rate / base) + F.when(n > k, (n - k) * F.log((1 - rate) / (1 - base))).otherwise(0.0)
+    return F.when((k >= MARKER_DOCS) & (odds >= MARKER_LOG_ODDS), F.when((rate > base) & (chance >= MARKER_LOG_RATIO), odds))
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict | None:
     """Fit on at most sample_rows labelled documents; None where fewer than two classes are labelled.
 
-    A document is good if its quality is 1 and it isn't toxic (null: not toxic). Marker words are
-    words with a large smoothed log odds ratio for bad documents, counted by an aggregation over
-    the sample. Weights of the logistic regression are small enough to send in the task closure.
+    A document is good if its quality is 1 and it isn't toxic (null: not toxic). Markers are words
+    and word beginnings with a large smoothed log odds ratio for toxic or for bad documents that
+    chance doesn't explain, counted by an aggregation over the sample. Weights of the logistic regression are small enough to send in the task closure.
     """
     good = F.min(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int"))
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(good.alias("good"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("id"), "good")
+    toxic = F.max((F.coalesce(F.col("toxic"), F.lit(0)) != 0).cast("int"))
+    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(good.alias("good"), toxic.alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("id"), "good", "toxic")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     sample = stored(sample, "quality-sample")
-    totals = {bool(good): n for good, n in sample.groupBy("good").count().collect()}
-    if len(totals) < 2:
+    docs_, bads, toxics = sample.agg(F.count(F.lit(1)), F.sum(1 - F.col("good")), F.sum("toxic")).first()
+    if not docs_ or bads in (0, docs_):
         return None
 
     @F.arrow_udf("array<string>")
-    def distinct_words(texts: pa.Array) -> pa.Array:
-        return pa.array([[w.decode() for w in set(words_of(t))] for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    counted = sample.select("good", F.explode(distinct_words("text")).alias("word")).groupBy("word").agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n"))
-    bad = F.col("n") - F.col("good")
-    odds = F.log((bad + 0.5) / (totals[False] + 1.0)) - F.log((F.col("good") + 0.5) / (totals[True] + 1.0))
-    strong = counted.filter(F.col("n") >= MARKER_DOCS).select("word", odds.alias("odds")).filter(F.col("odds") >= MARKER_LOG_ODDS)
-    markers = {r["word"].encode(): r["odds"] for r in strong.orderBy(F.desc("odds"), "word").limit(MARKERS).collect()}
+    def distinct_terms(texts: pa.Array) -> pa.Array:
+        return pa.array([[t.decode() for t in {t for w in set(words_of(text)) for t in terms_of(w)}] for text in texts.to_pylist()], pa.list_(pa.string()))
+
+    terms = sample.select("good", "toxic", F.explode(distinct_terms("text")).alias("term")).groupBy("term")
+    counted = terms.agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("good")).alias("bad"), F.sum("toxic").alias("toxic"))
+    odds = F.greatest(*[_marker_odds(F.col(name), F.col("n"), total, docs_) for name, total in (("bad", bads), ("toxic", toxics)) if total])
+    strong = {r["term"].encode(): r["odds"] for r in counted.select("term", odds.alias("odds")).filter("odds > 0").collect()}
+    markers = Markers({t: o for t, o in strong.items() if t[-1:] == b"*" or all(o > strong.get(stem, 0.0) for stem in terms_of(t)[1:])})
     rows = sample.select("good", _evidence_udf(markers, None)("text").alias("x")).toPandas()  # at most sample_rows rows
     x, y = np.array(rows["x"].tolist()), rows["good"].to_numpy(float)
     mean, scale = x.mean(0), x.std(0)

@@ -19,6 +19,24 @@ def test_held_out_accuracy(spark):
     assert found[found.quality == 0].accepted.mean() < 0.05
 
 
+def test_held_out_toxic_recall_by_language(spark):
+    """Few Spanish documents are labelled toxic; what marks them is the beginning that their words share."""
+    data = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0
+    found = Q.classify_quality(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").filter("quality = 1")
+    rates = {(r.lang, r.toxic): r.kept for r in found.groupBy("lang", "toxic").agg(F.avg(F.col("accepted").cast("int")).alias("kept")).collect()}
+    assert len(rates) == 8
+    assert all(kept < 0.25 if toxic else kept > 0.98 for (_, toxic), kept in rates.items())
+
+
+def test_terms():
+    assert Q.terms_of("réeuxvi".encode()) == ["réeuxvi".encode(), *(x.encode() for x in ("réeu*", "réeux*", "réeuxv*", "réeuxvi*"))]
+    markers = Q.Markers({b"abcd*": 2.0, b"abcde": 3.0})
+    assert [markers[w] for w in (b"abcde", b"abcdef", b"abc")] == [3.0, 2.0, 0.0]
+
+
 def test_sites_shrink(spark):
     """A path of few documents stays near its host, one of many follows its own share."""
     paths = spark.createDataFrame([("few", 0.0, 2), ("many", 0.0, 2000)], "site string, good double, n bigint")

@@ -14,7 +14,7 @@ from keystrata.llm.shared import bounded_batches, fresh
 
 #: A comment, declaration, tag or one of these cut off by the end of the page. Quoted values may hold ">".
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Elements whose content is not text.
@@ -27,11 +27,13 @@ BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements that close an open one of the same kind.
 SELF_CLOSING = frozenset("li dt dd tr td th option".split())
-#: Names in class, id and role that mark what is never main text ...
+#: Names in class, id and role that mark what is never main text where none of CONTENT stands beside them ...
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter subscribe signup breadcrumb breadcrumbs hidden search navigation contentinfo complementary alert alertdialog noprint".split())
-#: ... and those that only do where none of CONTENT stands beside them.
+#: ... likewise, but frequent parts of other names.
 RARELY = frozenset("nav navbar menu header footer masthead sidebar side aside rail banner notice related share sharing social widget popup modal overlay toolbar pagination pager tags toc login".split())
 CONTENT = frozenset("content article main post entry body page wrapper container layout story text".split())
+#: Parts that a name made of those above may hold besides, as in "sidebar-left" or "ad-container".
+PLACES = frozenset("left right top bottom list area box block bar wrap wrapper container section inner outer link links".split())
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on are or this from an at not have has but they his her you which we their its were will "
@@ -44,15 +46,27 @@ LINKED, SHORT, LONG, FEW_STOP_WORDS, MANY_STOP_WORDS = 0.5, 70, 200, 0.2, 0.3
 
 
 def _unwanted(tag: str, attributes: str) -> bool:
+    """Whether an element is hidden or named as what is never main text. Names count as a whole, and block scores
+    decide where a name of content stands beside."""
     if tag in ("html", "body", "article", "main") or not attributes:
         return False
-    names: set[str] = set()
-    for key, value in _NAMES.findall(attributes):
-        if key.lower() == "hidden" or key.lower() == "aria-hidden" and value.strip("\"'").lower() == "true":
-            names.add("hidden")
-        elif key.lower() != "aria-hidden":
-            names.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
-    return bool(names & NEVER) or bool(names & RARELY) and not names & CONTENT
+    junk = content = False
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                parts = _parts(name)
+                bad = name.lower() in NEVER or bool(parts & (NEVER | RARELY)) and parts <= NEVER | RARELY | PLACES and "hidden" not in parts
+                junk |= bad
+                content |= not bad and bool(parts & CONTENT)
+    return junk and not content
+
+
+def _parts(name: str) -> set[str]:
+    """Words of one class token, id or role: letters between other characters and changes of case."""
+    return {x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x}
 
 
 #: Text, whether it stands in the article, share of link text, and whether it is a heading.

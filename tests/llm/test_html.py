@@ -20,6 +20,15 @@ def test_article_page():
     assert H.main_text(page).split("\n") == ["The Title", f"{PROSE} Next line.", "Short.", "AT&T <b> café A end", "one", "two"]
 
 
+def test_values_of_other_attributes_and_parts_of_names_drop_nothing():
+    harmless = ['style="overflow:hidden"', 'title="The hidden valley"', "title='class=ad'", 'href="/p?id=ad"', "href=/hidden/path?id=ad", 'data-class="ad"', 'class="content overflow-hidden"', 'class="post comments-open"', 'class="search-term"', 'aria-hidden="false"', 'title="hidden']
+    for attributes in harmless:
+        assert H.main_text(f"<article><p>{PROSE}</p><div {attributes}>{PROSE} Kept.</div></article>") == f"{PROSE}\n{PROSE} Kept.", attributes
+        assert H.main_text(f"<article><p>On <a {attributes}>an isle</a> {PROSE}</p></article>") == f"On an isle {PROSE}", attributes
+    for attributes in ("hidden", 'hidden=""', 'HIDDEN class="content"', 'aria-hidden="true"', 'class="x ad"', "id=comments", "role='search'", 'class="cookie-notice"', 'class="adBanner"', 'class="ad-container"', 'class="sidebar-left"', 'class="comment-list"'):
+        assert H.main_text(f"<article><p>{PROSE}</p><div {attributes}>{PROSE} Gone.</div></article>") == PROSE, attributes
+
+
 def test_page_without_article():
     page = f"""<body><div class="menu"><a href=a>A</a></div><div><a href=b>Only</a> <a href=c>links here</a></div><h2>Heading</h2><p>{PROSE} {PROSE}</p><p>Brief.</p><p>{PROSE} {PROSE}</p>
     <p>x1 k2 z3 {'q' * 80}</p><p>Copyright</p></body>"""

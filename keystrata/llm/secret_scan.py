@@ -18,12 +18,17 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters that the models know; any other ends a candidate.
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+_=-"
-#: Candidates are whole runs of the alphabet of so many characters that hold a letter and a digit.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+#: Candidates are whole runs of the alphabet of so many characters that hold a letter, with padding at their end,
+#: and, since ordinary names may stand before a secret in a path, the parts of a run between slashes.
 CANDIDATE_CHARS = 16
-CANDIDATE = "(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{%d,}+" % CANDIDATE_CHARS
+CANDIDATE, PART = (
+    f"(?<![{known}])[{known}]{{{CANDIDATE_CHARS},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?" for known in ("A-Za-z0-9+/_-", "A-Za-z0-9+_-")
+)
 #: A candidate is a secret if the random model is e^8 times as likely, and e^0.35 times per character.
 MIN_RATIO, MIN_RATIO_PER_CHAR = 8.0, 0.35
+#: Without a digit it must be so many times as likely per character.
+MIN_LETTERS_RATIO_PER_CHAR = 1.0
 #: Counted with every pair of characters before the samples are.
 SMOOTHING = 0.5
 #: Samples of each label.
@@ -42,19 +47,20 @@ _SPAN = "array<struct<start:bigint,end:bigint,kind:int>>"
 def labelled_samples(spark: SparkSession, prose: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """Labelled samples (sample, random): random strings and ordinary identifiers.
 
-    Random strings are digests in base 64, base 32 style and hexadecimal. Identifiers join two to
-    four words in snake, kebab and camel case, some with a number; words come from
-    IDENTIFIER_WORDS and, if given, from ordinary prose.
+    Random strings are digests in both kinds of base 64, base 32 style and hexadecimal. Identifiers
+    join two to four words in snake, kebab and camel case and as paths, some with a number or date; words
+    come from IDENTIFIER_WORDS and, if given, from ordinary prose.
     """
     n = spark.range(SAMPLES).select("id", F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256).alias("h"))
-    b64 = F.translate(F.base64(F.unhex("h")), "/", "_")
+    b64 = F.base64(F.unhex("h"))
     cased = F.translate(F.substring("h", 1, 40), "0123456789abcdef", "k3QzX7vTp9LmW2rB")
-    random = n.select(F.explode(F.array(F.substring(b64, 1, 40), cased, F.substring("h", 9, 32), F.upper(F.substring(b64, 5, 20)))).alias("sample"), F.lit(True).alias("random"))
+    random = n.select(F.explode(F.array(F.substring(b64, 1, 40), F.translate(F.substring(b64, 1, 40), "+/", "-_"), cased, F.substring("h", 9, 32), F.upper(F.substring(b64, 5, 20)))).alias("sample"), F.lit(True).alias("random"))
     words = F.split(F.lit(" ".join(IDENTIFIER_WORDS)), " ")
     pick = lambda i: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(IDENTIFIER_WORDS))) + 1).cast("int"))
     a, b, c = pick(1), pick(2), pick(3)
     year = F.when(F.col("id") % 4 == 0, (F.lit(1990) + F.col("id") % 60).cast("string")).otherwise("")
-    ordinary = n.select(F.explode(F.array(F.concat_ws("_", a, b, c, year), F.concat_ws("-", a, b, c), F.concat(a, F.initcap(b), F.initcap(c), year), F.upper(F.concat_ws("_", a, b, c)))).alias("sample"), F.lit(False).alias("random"))
+    day = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 5 % 20_000).cast("int")), "yyyy/MM/dd")
+    ordinary = n.select(F.explode(F.array(F.concat_ws("_", a, b, c, year), F.concat_ws("-", a, b, c), F.concat(a, F.initcap(b), F.initcap(c), year), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("/", F.lit(""), a, b, c, year), F.concat_ws("/", a, day, b))).alias("sample"), F.lit(False).alias("random"))
     if prose is not None:
         found = prose.select(F.explode(F.split(F.col(text_col), "[^A-Za-z]+")).alias("sample")).filter("length(sample) > 3").limit(SAMPLES)
         ordinary = ordinary.unionByName(found.select("sample", F.lit(False).alias("random")))
@@ -120,11 +126,12 @@ def _sorted(spans: Column) -> Column:
     return F.transform(keyed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
-def markov_spans(text: Column, ratios: list[float]) -> Column:
-    """Spans of candidates that the random model explains better by the set ratio."""
+def markov_spans(text: Column, ratios: list[float]) -> tuple[Column, Column]:
+    """Spans of whole candidates, and of parts between slashes, that the random model explains better by the set ratio."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 
     def likely(m: Column, i: Column) -> Column:
+        m = F.rtrim(m, F.lit("="))
         codes = F.transform(F.sequence(F.lit(1), F.length(m)), lambda j: F.position(F.substring(m, j, F.lit(1)), F.lit(ALPHABET)))
         first = F.slice(codes, 1, F.size(codes) - 1)
         score = F.aggregate(
@@ -132,27 +139,47 @@ def markov_spans(text: Column, ratios: list[float]) -> Column:
             F.lit(0.0),
             lambda acc, x: acc + x,
         )
-        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (score >= MIN_RATIO) & (score >= MIN_RATIO_PER_CHAR * F.length(m))
+        per_char = F.when(m.rlike("[0-9]"), MIN_RATIO_PER_CHAR).otherwise(MIN_LETTERS_RATIO_PER_CHAR)
+        return m.rlike("[A-Za-z]") & (score >= MIN_RATIO) & (score >= per_char * F.length(m))
 
-    return F.when(text.rlike(CANDIDATE), _matches(text, CANDIDATE, 3, likely)).otherwise(F.array().cast(_SPAN))
+    found = [F.when(text.rlike(pattern), _matches(text, pattern, 3, likely)).otherwise(F.array().cast(_SPAN)) for pattern in (CANDIDATE, PART)]
+    return found[0], found[1]
+
+
+def _beyond(spans: Column, others: Column) -> Column:
+    """What spans cover and others, sorted by start, don't."""
+
+    def pieces(s: Column) -> Column:
+        piece = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end"), s["kind"].alias("kind"))).cast(_SPAN)
+
+        def step(acc: Column, o: Column) -> Column:
+            grown = F.when(o["start"] > acc["at"], F.concat(acc["spans"], piece(acc["at"], o["start"]))).otherwise(acc["spans"])
+            return F.struct(F.greatest(acc["at"], o["end"]).alias("at"), grown.alias("spans"))
+
+        cut = F.filter(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
+        begin = F.struct(s["start"].alias("at"), F.array().cast(_SPAN).alias("spans"))
+        return F.aggregate(cut, begin, step, lambda acc: F.when(acc["at"] < s["end"], F.concat(acc["spans"], piece(acc["at"], s["end"]))).otherwise(acc["spans"]))
+
+    return F.flatten(F.transform(spans, pieces))
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFrame:
     """All columns of docs and ``secrets`` (renamed if taken): struct(base, spans).
 
-    base holds the spans of the fixed patterns; spans holds these and the method's, which overlap
-    no base span. A span is (start, end, kind): code points, end exclusive, kind as a position in
+    base holds the spans of the fixed patterns; spans holds these and of the method's what no base
+    span covers. A span is (start, end, kind): code points, end exclusive, kind as a position in
     KINDS; both are sorted by start, then kind. Everything is a column expression over the whole
     text: no shuffle, no Python on executors.
 
     Null text: empty, no spans. Repeated rows: each scanned alone. Empty table: no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base, more, column = fresh(docs, "base_spans", "more_spans", into)
-    out = docs.withColumns({base: base_spans(text), more: markov_spans(text, log_ratios(samples))})
-    apart = F.filter(more, lambda s: ~F.exists(F.col(base), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    both = _sorted(F.concat(F.col(base), apart))
-    return out.withColumn(column, F.struct(F.col(base).alias("base"), both.alias("spans"))).drop(base, more)
+    base, runs, parts, column = fresh(docs, "base_spans", "run_spans", "part_spans", into)
+    whole, between = markov_spans(text, log_ratios(samples))
+    out = docs.withColumns({base: base_spans(text), runs: whole, parts: between})
+    more = F.concat(F.col(runs), _beyond(F.col(parts), F.col(runs)))
+    both = _sorted(F.concat(F.col(base), _beyond(more, F.col(base))))
+    return out.withColumn(column, F.struct(F.col(base).alias("base"), both.alias("spans"))).drop(base, runs, parts)
 
 
 def span_list(spans: Column) -> Column:

@@ -70,6 +70,26 @@ def test_models_on_held_out_strings(spark):
     assert len(hit - set(range(len(secrets)))) <= 0.01 * len(ordinary)
 
 
+def test_redaction_of_unaltered_strings(spark, sf_dir):
+    """Base 64 with its slashes and padding, strings without digits, behind names and paths, and around a base span."""
+    dice = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    coded = [base64.b64encode(dice.randbytes(dice.choice((16, 18, 24, 30)))).decode() for _ in range(400)]
+    lettered = ["".join(dice.choice(letters) for _ in range(dice.randint(20, 32))) for _ in range(200)]
+    named = [f"/usr/local/share/configuration/{x}" for x in ("".join(dice.choice(letters + "0123456789") for _ in range(32)) for _ in range(100))]
+    assigned = [f"customer_session_handler_name={x}" for x in coded[:100]]
+    around = [f"{x[:20]}AKIA{'Q7XW2ZLM9PRT4KVB'}{x[20:]}" for x in ("".join(dice.choice(letters + "0123456789") for _ in range(40)).replace("K", "k") + "q" for _ in range(100))]
+    ordinary = ["/".join(dice.choice(S.IDENTIFIER_WORDS) for _ in range(5)) for _ in range(200)] + ["getUserNameFromSessionConfig", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "/home/user/projects/page_index.html", "https://example.com/data/2024/01/page", "internationalization/localization"] * 5
+    rows = [(i, f"see {x} here") for i, x in enumerate(coded + lettered + named + assigned + around + ordinary)]
+    found = S.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string"), S.labelled_samples(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    clean = {r.doc_id: r.clean for r in found.select("doc_id", S.redacted(F.col("text"), F.col("secrets")["spans"], "#").alias("clean")).collect()}
+    at = 0
+    for kind, want, share in ((coded, "see # here", 0.97), (lettered, "see # here", 0.95), (named, r"see /usr/local/share/configuration/# here|see # here", 0.97), (assigned, "see customer_session_handler_name=# here", 0.97), (around, "see #+ here", 0.97)):
+        assert sum(bool(re.fullmatch(want, clean[at + i])) for i in range(len(kind))) >= share * len(kind), want
+        at += len(kind)
+    assert sum("#" in clean[at + i] for i in range(len(ordinary))) <= 0.01 * len(ordinary)
+
+
 def test_op1(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in S.op1_secret_scan(spark, sf_dir).collect():

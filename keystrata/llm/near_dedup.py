@@ -351,16 +351,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     connected yet, by samples first. So within a bucket no link is lost that connects classes.
 
     Null, empty and wordless texts have no shingles: each is a class of its own. Null ids: class
-    null, never a representative. Rows that repeat an id are one document, for which the greatest
-    text stands. Empty table: no rows.
+    null, never a representative. Rows that repeat an id are one document here, for which the greatest
+    text stands; near_duplicate_rows judges each text. Empty table: no rows.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = rows.filter("id is not null")
-    if not source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+    if _repeats(source):
         source = stored(source.groupBy("id").agg(F.max("text").alias("text")), "dedup-documents")
-    every_id = rows.select("id")
+    return rows.select("id").join(_classes(source), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+
+
+def _repeats(source: DataFrame) -> bool:
+    """Whether rows repeat an id."""
+    return not source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _classes(source: DataFrame) -> DataFrame:
+    """Rows (id, class_id) of all texts with words; ids of source are there once each."""
+    spark = source.sparkSession
+    bounded_batches(spark)
     idf, _ = document_frequencies(source)
     sent = spark.sparkContext.broadcast(idf)
     every = stored(_signed(source, sent), "dedup-samples")
@@ -383,21 +392,46 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             links = links.unionByName(_blocks(_labelled(many.drop("component"), labels), signed, texts, sent))
             labels = connected_components(links)
     of_class = signed.select("fp", "id").join(labels, "id", "left").select("fp", F.coalesce("component", "id").alias("class_id"))
-    classes = every.select("id", "fp").join(of_class, "fp").select("id", "class_id")
-    return every_id.join(classes, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    return every.select("id", "fp").join(of_class, "fp").select("id", "class_id")
+
+
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs, ``class_id`` and ``kept`` (renamed if taken), each row judged by its own text.
+
+    Classes are those of near_duplicate_classes over each distinct id and text: class_id is the
+    smallest id of a class, and its representative is one text of that id, chosen by its digest. kept holds for rows of the representative, so the same id and text are kept or not
+    together, and for all rows of null id, whose class is null.
+    """
+    own, digest, at, to = fresh(docs, "own_id", "text_digest", "class_id", "kept")
+    rows = docs.withColumn(own, F.col(id_col).cast("long"))
+    source = rows.filter(F.col(own).isNotNull()).select(F.col(own).alias("id"), F.col(text_col).alias("text"))
+    key, named = fresh(docs.withColumns({c: F.lit(0) for c in (own, digest, at, to)}), "dedup_key", "dedup_id")
+    if not _repeats(source):
+        classes = _classes(source).select(F.col("id").alias(key), F.col("class_id").alias(at))
+        found = rows.join(classes, F.col(own) == F.col(key), "left").withColumn(at, F.coalesce(at, own))
+        return found.withColumn(to, F.coalesce(F.col(own) == F.col(at), F.lit(True))).select(*docs.columns, at, to)
+    texts = source.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["id", "digest"])
+    texts = stored(texts.withColumn("key", F.monotonically_increasing_id()), "dedup-documents")
+    classes = _classes(texts.select(F.col("key").alias("id"), "text")).withColumnRenamed("id", "key")
+    classes = texts.select("key", "id", "digest").join(classes, "key", "left").withColumn("class_id", F.coalesce("class_id", "key"))
+    classes = stored(classes, "dedup-texts")
+    first = F.min(F.struct("id", "digest", "key"))
+    heads = classes.groupBy("class_id").agg(first.alias("head"))
+    heads = classes.join(heads, "class_id").select(F.col("id").alias(named), F.col("digest").alias(digest), F.col("head.id").alias(at), (F.col("key") == F.col("head.key")).alias(to))
+    same = (F.col(own) == F.col(named)) & F.sha2(F.col(text_col), 256).eqNullSafe(F.col(digest))
+    return rows.join(heads, same, "left").withColumn(to, F.coalesce(to, F.lit(True))).select(*docs.columns, at, to)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay: of each class the one of smallest id, and all of null id.
+    """The documents that stay: of each class the representative of smallest id, and all of null id.
 
-    Rows that repeat an id belong together: all of them stay or go.
+    A row goes only if its own text is a copy, whatever else has its id.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col)
-    gone = classes.groupBy("id").agg(F.min("class_id").alias("class_id")).filter("id <> class_id").select(F.col("id").alias(fresh(docs, "dropped")[0]))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone.columns[0]), "left_anti")
+    found = near_duplicate_rows(docs, id_col, text_col)
+    return found.filter(F.col(found.columns[-1])).select(docs.columns)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
-    found = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicate_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "class_id", "kept")

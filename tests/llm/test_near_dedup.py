@@ -79,6 +79,19 @@ def test_an_id_with_several_texts_is_one_document(spark):
     assert sorted(((r.id, r.class_id) for r in N.near_duplicate_classes(docs).collect()), key=str) == [(1, 1), (1, 1), (2, 2), (3, 1), (None, None)]
 
 
+def test_each_text_of_an_id_is_judged(spark):
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    rows = [(3, c), (5, "aaa " + a), (5, c), (6, b), (6, b), (7, None), (7, b), (8, a), (9, a), (9, None), (None, c)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, class_id string")
+    kept = N.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = [(3, c), (5, "aaa " + a), (6, b), (6, b), (7, None), (9, None), (None, c)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert sorted((str(r.doc_id), str(r.class_id_)) for r in N.near_duplicate_rows(docs).collect()) == sorted(
+        [("3", "3"), ("5", "5"), ("5", "3"), ("6", "6"), ("6", "6"), ("7", "7"), ("7", "6"), ("8", "5"), ("9", "5"), ("9", "9"), ("None", "None")]
+    )
+
+
 def test_samples_estimate_the_similarity():
     a, b = N.shingles_of(words_of(prose(1, 400))), N.shingles_of(words_of(_edited(prose(1, 400), 5, 0.02)))
     idf = np.ones(N.FEATURES, np.float32)

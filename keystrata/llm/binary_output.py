@@ -16,6 +16,8 @@ from keystrata.llm.tokens import encoder
 
 #: Stands for a null document id in the id file.
 NULL_ID = np.iinfo(np.int64).min
+#: Documents and tokens that are read back at once; a longer document is read alone.
+READ_DOCS, READ_TOKENS = 4096, 1 << 20
 MANIFEST = "part long, file string, dtype string, n_docs long, n_tokens long"
 
 
@@ -31,15 +33,16 @@ def _place(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def _array(uri: str, dtype) -> np.ndarray:
-    """A flat file as an array: memory-mapped where it is local, else read."""
+def _slices(uri: str, dtype: str):
+    """A function that gives any slice of a flat file: memory-mapped where it is local, else read by range."""
     from pyarrow import fs
 
     system, path = _place(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if system.get_file_info(path).size else np.empty(0, dtype)
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        mapped = np.memmap(path, dtype, "r") if system.get_file_info(path).size else np.empty(0, dtype)
+        return lambda begin, end: mapped[begin:end]
+    size, opened = np.dtype(dtype).itemsize, system.open_input_file(path)
+    return lambda begin, end: np.frombuffer(opened.read_at((end - begin) * size, begin * size), dtype)
 
 
 def write_tokens(
@@ -93,21 +96,22 @@ def write_tokens(
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids) from the files; ids as unsigned 32-bit little-endian binary.
 
-    Each file is mapped and walked in slices, so a task's memory doesn't grow with the file.
+    Each file is mapped, or read by range where it isn't local, and walked in slices, so a task's
+    memory doesn't grow with the file.
     """
     spark = manifest.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens, idx, keys = (_array(row["file"] + s, t) for s, t in ((".bin", row["dtype"]), (".idx", "<u8"), (".ids", "<i8")))
+                tokens, idx, keys = (_slices(row["file"] + s, t) for s, t in ((".bin", row["dtype"]), (".idx", "<u8"), (".ids", "<i8")))
                 at = 0
                 while at < row["n_docs"]:
-                    end = int(np.searchsorted(idx, idx[at] + np.uint64(1 << 20), "right"))
-                    end = min(max(end - 1, at + 1), row["n_docs"], at + 4096)
-                    cut = idx[at : end + 1].astype("i8")
-                    ids = tokens[cut[0] : cut[-1]].astype("<u4").tobytes()
-                    some = keys[at:end].astype("i8")
+                    cut = idx(at, min(at + READ_DOCS, row["n_docs"]) + 1).astype("i8")
+                    cut = cut[: max(int(np.searchsorted(cut, cut[0] + READ_TOKENS, "right")), 2)]
+                    end = at + len(cut) - 1
+                    ids = tokens(cut[0], cut[-1]).astype("<u4").tobytes()
+                    some = keys(at, end).astype("i8")
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(some, mask=some == NULL_ID),

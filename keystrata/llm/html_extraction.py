@@ -18,7 +18,7 @@ _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Elements whose content is not text.
-RAW = frozenset("script style noscript template iframe textarea title svg math object select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title svg annotation object select canvas audio video".split())
 #: Elements that never hold main text.
 SKIP = frozenset("head nav footer aside form button dialog menu fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,7 +30,11 @@ SELF_CLOSING = frozenset("li dt dd tr td th option".split())
 #: Names in class, id and role that mark what is never main text where none of CONTENT stands beside them ...
 NEVER = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus respond reply replies cookie cookies consent gdpr newsletter subscribe signup breadcrumb breadcrumbs hidden search navigation contentinfo complementary alert alertdialog noprint".split())
 #: ... likewise, but frequent parts of other names.
-RARELY = frozenset("nav navbar menu header footer masthead sidebar side aside rail banner notice related share sharing social widget popup modal overlay toolbar pagination pager tags toc login".split())
+RARELY = frozenset("nav navbar menu header footer masthead sidebar banner sharing popup toolbar pagination pager breadcrumb toc login".split())
+#: Ordinary words that mark such an element only where no other name stands beside them.
+ALONE = frozenset("side aside rail notice related share social widget modal overlay tags".split())
+#: A name that begins so belongs to reader comments, whatever follows of CONTENT.
+COMMENT = frozenset("comment comments reply replies".split())
 CONTENT = frozenset("content article main post entry body page wrapper container layout story text".split())
 #: Parts that a name made of those above may hold besides, as in "sidebar-left" or "ad-container".
 PLACES = frozenset("left right top bottom list area box block bar wrap wrapper container section inner outer link links".split())
@@ -43,14 +47,16 @@ STOP_WORDS = frozenset(
 )
 #: Rules of the first pass.
 LINKED, SHORT, LONG, FEW_STOP_WORDS, MANY_STOP_WORDS = 0.5, 70, 200, 0.2, 0.3
+#: An article tag isn't trusted if so many times its text is decided as main text outside of it.
+OUTWEIGHED = 4
 
 
 def _unwanted(tag: str, attributes: str) -> bool:
     """Whether an element is hidden or named as what is never main text. Names count as a whole, and block scores
     decide where a name of content stands beside."""
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag in ("html", "body", "main") or not attributes:
         return False
-    junk = content = False
+    junk = content = other = alone = False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
@@ -58,15 +64,19 @@ def _unwanted(tag: str, attributes: str) -> bool:
         if key in ("class", "id", "role"):
             for name in value.split():
                 parts = _parts(name)
-                bad = name.lower() in NEVER or bool(parts & (NEVER | RARELY)) and parts <= NEVER | RARELY | PLACES and "hidden" not in parts
+                known = set(parts)
+                whole = known <= NEVER | RARELY | ALONE | PLACES and "hidden" not in known
+                bad = name.lower() in NEVER or whole and bool(known & (NEVER | RARELY)) or bool(parts) and parts[0] in COMMENT and known <= COMMENT | CONTENT | PLACES
                 junk |= bad
-                content |= not bad and bool(parts & CONTENT)
-    return junk and not content
+                alone |= whole and bool(known & ALONE)
+                content |= not bad and bool(known & CONTENT)
+                other |= not bad and not whole
+    return (junk or alone and not other) and not content and (tag != "article" or junk)
 
 
-def _parts(name: str) -> set[str]:
+def _parts(name: str) -> list[str]:
     """Words of one class token, id or role: letters between other characters and changes of case."""
-    return {x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x}
+    return [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x]
 
 
 #: Text, whether it stands in the article, share of link text, and whether it is a heading.
@@ -153,33 +163,37 @@ def blocks_of(html: str) -> list[Block]:
     return blocks
 
 
+def _decided(block: Block) -> bool | None:
+    """First pass: link density, length and stop-word density decide a block or leave a short one open."""
+    text, _, density, _ = block
+    words = [w.lower() for w in _LETTERS.findall(text)]
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if density > LINKED:
+        return False
+    if len(text) < SHORT:
+        return False if density > 0.2 else None
+    if stops >= MANY_STOP_WORDS or len(text) >= LONG and stops >= FEW_STOP_WORDS:
+        return True
+    return False if stops < FEW_STOP_WORDS else None
+
+
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
     First pass: link density, length and stop-word density decide a block or leave a short one
-    open; a page that marks its article rules out what lies outside. Second pass: an open block
-    takes the label of the nearest decided block, before or after it. Where they are as near and
-    differ, a heading goes with what follows and other blocks are kept in an article only, as they
-    are where nothing is decided.
+    open. Second pass: an open block takes the label of the nearest decided block, before or after
+    it. Where they are as near and differ, a heading goes with what follows and other blocks go;
+    so do they where nothing is decided.
+
+    A page that marks its article rules out what lies outside and keeps what lies inside, however
+    short, linked or poor in stop words, since unwanted elements are gone by then. But where the
+    first pass finds OUTWEIGHED times as much main text outside, the tag marks a teaser, and all blocks
+    are judged by the rules.
     """
-    marked = any(inside for _, inside, _, _ in blocks)
-    first: list[bool | None] = []
-    for text, inside, density, _ in blocks:
-        if marked and not inside:
-            first.append(False)
-            continue
-        words = [w.lower() for w in _LETTERS.findall(text)]
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if density > LINKED:
-            first.append(False if not inside or stops < FEW_STOP_WORDS else None)
-        elif inside:
-            first.append(True if len(text) >= SHORT or stops >= MANY_STOP_WORDS else None)
-        elif len(text) < SHORT:
-            first.append(False if density > 0.2 else None)
-        elif stops >= MANY_STOP_WORDS or len(text) >= LONG and stops >= FEW_STOP_WORDS:
-            first.append(True)
-        else:
-            first.append(False if stops < FEW_STOP_WORDS else None)
+    first = [_decided(b) for b in blocks]
+    inside = sum(len(b[0]) for b in blocks if b[1])
+    if inside and sum(len(b[0]) for b, label in zip(blocks, first, strict=True) if label and not b[1]) <= OUTWEIGHED * inside:
+        return [b[1] for b in blocks]
     far = len(blocks) + 1
     before: list[tuple[int, bool]] = []
     last = (-far, False)
@@ -194,7 +208,7 @@ def labels_of(blocks: list[Block]) -> list[bool]:
             continue
         left, right = i - before[i][0], after[0] - i
         if min(left, right) >= far or left == right and before[i][1] != after[1]:
-            out[i] = after[1] if blocks[i][3] and right < far else blocks[i][1]
+            out[i] = blocks[i][3] and right < far and after[1]
         else:
             out[i] = before[i][1] if left <= right else after[1]
     return out

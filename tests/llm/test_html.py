@@ -50,9 +50,30 @@ def test_neighbours_decide_short_blocks():
     assert H.labels_of([good, short, short, bad, short]) == [True, True, False, False, False]
     assert H.labels_of([good, short, bad, heading, good]) == [True, False, False, True, True]
     assert H.labels_of([short]) == [False] and H.labels_of([("short", True, 0.0, False)]) == [True]
+    assert H.labels_of([good, ("a teaser", True, 0.0, False), bad]) == [True, False, False]
     assert H.labels_of([]) == []
 
 
+def test_articles_lose_nothing():
+    long = PROSE * 3
+    assert H.main_text(f"<div>Outside text</div><article><p>Short one.</p><p>Short two.</p><p>{long}</p></article>").split("\n") == ["Short one.", "Short two.", long]
+    assert H.main_text(f"<article><p>{long}</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><p>Fin.</p></article>").split("\n") == [long, "One", "Two", "Fin."]
+    assert H.main_text(f"<article><p>{long}</p><p class='share price'>The share fell.</p></article>").split("\n") == [long, "The share fell."]
+    assert H.main_text(f"<article><p>{long}</p><p class='share'>Share this</p><div class='tags'>a b</div></article>") == long
+    assert H.main_text(f"<article><p>{long}</p><p>Let <math><mi>x</mi> = <mn>2</mn></math> be.</p></article>").split("\n") == [long, "Let x = 2 be."]
+
+
+def test_reader_comments_go():
+    for tag in ("article class='comment'", "article class='comment-body'", "div class='comment-content'", "section id=comments", "li class='comment even'"):
+        name = tag.split()[0]
+        assert H.main_text(f"<article><p>{PROSE}</p><{tag}><p>{PROSE} I think.</p></{name}></article>") == PROSE, tag
+
+
+def test_prose_outside_of_teasers():
+    page = f"<article class='teaser'><p>Read more</p></article><div>{PROSE * 3}</div><div>{PROSE * 3}</div><div><a href=a>Next page of it</a></div>"
+    assert H.main_text(page).split("\n") == ["Read more", PROSE * 3, PROSE * 3]
+
+
 def test_columns(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "<article>a</article>", None)], "page_id bigint, html string, Main_Text string")
     got = H.extract_main_text(pages)

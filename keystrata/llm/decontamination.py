@@ -3,92 +3,153 @@
 from __future__ import annotations
 
 import uuid
+from array import array
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import WORD_TABLE, bounded_batches, fresh, words_of
+from keystrata.llm.shared import WORD_TABLE, bounded_batches, fresh, stored, words_of
 
 #: Consecutive words of an item that count as an occurrence.
 WINDOW = 13
-#: Benchmark text that one automaton may hold; a larger set is scanned automaton by automaton.
-AUTOMATON_BYTES = 16 << 20
-#: Benchmark text that may be sent to the executors at all.
-BENCHMARK_BYTES = 256 << 20
+#: Words and bytes of items that one automaton holds on average; a larger benchmark takes several passes.
+AUTOMATON_WORDS, AUTOMATON_BYTES = 2_000_000, 16 << 20
 
-_automata: dict[tuple, object] = {}
+_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_machines: dict[str, "ItemMachine"] = {}
 
 
-def windows_of(text: str | None, size: int = WINDOW) -> list[str]:
-    """Patterns of an item: each run of `size` words, or all words of a shorter item, between blanks.
+class ItemMachine:
+    """An Aho-Corasick automaton over numbered words of items; it has about one node for each item word.
 
-    Bytes are read as Latin-1, so that a pattern's position is a byte offset.
+    A window of w words holds a whole one of the item's blocks of (w + 1) / 2 words, laid end to end
+    from its first word. So the automaton's patterns are these blocks, and items shorter than a
+    window as a whole. Around a block that occurs in a text, its neighbours in the item are compared
+    word by word, up to where the furthest window with this block ends: at least w words in a row
+    are an occurrence. Blocks with the same neighbours are compared once for all their items.
     """
-    words = words_of(text)
-    runs = [words[i : i + size] for i in range(max(len(words) - size, 0) + 1)] if words else []
-    return [(b" " + b" ".join(run) + b" ").decode("latin-1") for run in runs]
 
-
-def _automaton(key: tuple, items: list[tuple[int | None, str]], size: int):
-    """The worker's automaton of a chunk of items; the last few are kept."""
-    if key not in _automata:
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         import ahocorasick
 
-        if len(_automata) >= 2:
-            _automata.clear()
-        owners: dict[str, set] = {}
+        self.window, self.block = window, (window + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.starts, self.ids = array("i", [-1] * window), [], []
+        patterns: dict[tuple, int] = {}
+        #: Of each pattern: positions of blocks in flat, or for a whole item its number below zero.
+        self.places: list[list[int]] = []
+        self.sizes: list[int] = []
+        #: Further items of a block's place.
+        self.more: dict[int, list[int]] = {}
+        around: dict[tuple[int, bytes], int] = {}
         for item_id, text in items:
-            for pattern in windows_of(text, size):
-                owners.setdefault(pattern, set()).add(item_id)
-        machine = ahocorasick.Automaton()
-        for pattern, ids in owners.items():
-            machine.add_word(pattern, (len(pattern), pattern.count(" ") - 1, tuple(ids)))
-        if owners:
-            machine.make_automaton()
-        _automata[key] = machine if owners else None
-    return _automata[key]
-
-
-def _scan(texts: list[str | None], chunks: list, key: str, size: int) -> list[dict]:
-    """Of each text: words, hit words, ids of items found, and hit spans in the original text."""
-    raws = [(text or "").encode() for text in texts]
-    split = [raw.translate(WORD_TABLE).split() for raw in raws]
-    lines = [(b" " + b" ".join(words) + b" ").decode("latin-1") if words else "" for words in split]
-    at: list[list[tuple[int, int]]] = [[] for _ in texts]
-    found: list[set] = [set() for _ in texts]
-    for k, items in enumerate(chunks):
-        machine = _automaton((key, k), items, size)
-        for i, line in enumerate(lines if machine else ()):
-            for end, (length, n, ids) in machine.iter(line):
-                at[i].append((end - length + 1, n))
-                found[i].update(ids)
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            if not words:
+                continue
+            number, start = len(self.ids), len(self.flat)
+            self.ids.append(item_id)
+            self.starts.append(start)
+            self.flat.extend(words)
+            self.flat.extend([-1] * window)  # stands between items, equal to no word
+            whole = len(words) < window
+            size = len(words) if whole else self.block
+            for at in range(0, len(words) - size + 1, size):
+                key = tuple(words[at : at + size])
+                k = patterns.setdefault(key, len(patterns))
+                if k == len(self.places):
+                    self.places.append([])
+                    self.sizes.append(size)
+                if whole:
+                    self.places[k].append(-1 - number)
+                    continue
+                q = start + at
+                same = (k, self.flat[q + size - window : q + window].tobytes())
+                if same in around:
+                    self.more.setdefault(around[same], []).append(number)
+                else:
+                    around[same] = q
+                    self.places[k].append(q)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for key, k in patterns.items():
+            self.machine.add_word(key, k)
+        if patterns:
+            self.machine.make_automaton()
+
+    def scan(self, words: list[bytes], found: set) -> list[tuple[int, int]]:
+        """Occurrences in a text as (first word, word after the last); ids of their items are added to found."""
+        get = self.numbers.get
+        text = tuple([get(w, 0) for w in words])
+        out = []
+        if not self.ids or not any(text):
+            return out
+        for end, k in self.machine.iter(text):
+            size = self.sizes[k]
+            first = end - size + 1
+            for q in self.places[k]:
+                if q < 0:
+                    out.append((first, end + 1))
+                    found.add(self.ids[-1 - q])
+                    continue
+                left = right = 0
+                room = min(self.window - size, first)
+                while left < room and text[first - left - 1] == self.flat[q - left - 1]:
+                    left += 1
+                room = min(self.window - size, len(text) - end - 1)
+                while right < room and text[end + right + 1] == self.flat[q + size + right]:
+                    right += 1
+                if left + size + right >= self.window:
+                    out.append((first - left, end + right + 1))
+                    found.add(self.ids[bisect_right(self.starts, q) - 1])
+                    found.update(self.ids[number] for number in self.more.get(q, ()))
+        return out
+
+
+def _machine(key: str, items: list, window: int) -> ItemMachine:
+    """The worker's automaton; only the last one is kept."""
+    if key not in _machines:
+        _machines.clear()
+        _machines[key] = ItemMachine(items, window)
+    return _machines[key]
+
+
+def _scan(texts: list[str | None], before: list[dict | None], machine: ItemMachine) -> list[dict]:
+    """Of each text: words, hit words, ids of items found, and hit runs as words and in the original text.
+
+    before holds what an earlier automaton has found.
+    """
     out = []
-    for raw, words, line, places, ids in zip(raws, split, lines, at, found, strict=True):
-        runs = _merged(line, places)
-        n_hit = sum(b - a for a, b in runs)
-        items = sorted(x for x in ids if x is not None)
-        out.append({"n_words": len(words), "n_hit": n_hit, "items": items, "spans": _original(raw, words, runs), "contaminated": n_hit > 0 and 20 * n_hit >= len(words)})
+    for text, old in zip(texts, before, strict=True):
+        raw = (text or "").encode()
+        flat = raw.translate(WORD_TABLE)
+        words, items = flat.split(), set(old["items"] if old else ())
+        at = machine.scan(words, items)
+        runs = _merged([*at, *((r["first"], r["after"]) for r in (old["runs"] if old else ()))])
+        n_hit = sum(after - first for first, after in runs)
+        out.append(
+            {
+                "n_words": len(words), "n_hit": n_hit, "items": sorted(x for x in items if x is not None), "runs": [{"first": first, "after": after} for first, after in runs],
+                "spans": _original(raw, flat, words, runs), "contaminated": n_hit > 0 and 20 * n_hit >= len(words),
+            }
+        )
     return out
 
 
-def _merged(line: str, places: list[tuple[int, int]]) -> list[list[int]]:
-    """Occurrences (position in the line, words) as disjoint runs of word numbers."""
+def _merged(places: list[tuple[int, int]]) -> list[list[int]]:
+    """Occurrences as disjoint runs of word numbers."""
     runs: list[list[int]] = []
-    first = done = 0
-    for begin, n in sorted(places):
-        first += line.count(" ", done, begin)  # one blank before each earlier word
-        done = begin
+    for first, after in sorted(places):
         if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], first + n)
+            runs[-1][1] = max(runs[-1][1], after)
         else:
-            runs.append([first, first + n])
+            runs.append([first, after])
     return runs
 
 
-def _original(raw: bytes, words: list[bytes], runs: list[list[int]]) -> list[dict]:
+def _original(raw: bytes, flat: bytes, words: list[bytes], runs: list[list[int]]) -> list[dict]:
     """Runs of word numbers as code-point spans of the original text."""
-    flat, spans, pos, number, chars, last = raw.translate(WORD_TABLE), [], 0, 0, 0, 0
+    spans, pos, number, chars, last = [], 0, 0, 0, 0
     for first, after in runs:
         while number < first:
             pos = flat.index(words[number], pos) + len(words[number])
@@ -107,37 +168,43 @@ def _original(raw: bytes, words: list[bytes], runs: list[list[int]]) -> list[dic
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns of docs and a struct column ``contamination`` (renamed if the name is taken).
 
-    Fields: n_words, n_hit, items (ids of items with an occurring window, ascending), spans (hit
-    passages as code points of the original text) and contaminated (n_hit > 0 and at least a
-    twentieth of the words).
+    Fields: n_words, n_hit, items (ids of items with an occurring window, ascending), runs (hit
+    passages as word numbers, the last one excluded), spans (the same as code points of the original
+    text) and contaminated (n_hit > 0 and at least a twentieth of the words).
 
-    The benchmark is measured first. Up to AUTOMATON_BYTES of it make one automaton; a larger set
-    is cut into chunks of whole items that a worker scans one after the other, each batch of texts
-    against each chunk. Above BENCHMARK_BYTES the call is refused. Documents are never shuffled.
+    The benchmark is measured first. If it has at most AUTOMATON_WORDS words and AUTOMATON_BYTES
+    bytes, one automaton holds it and each text is scanned once where it lies. A larger one is dealt by a hash
+    into as many parts as that takes; then each part is a pass over the documents, written in
+    between, that adds its occurrences to those found before. So driver and workers hold one
+    part at a time, and the result is the same. Documents are never shuffled.
 
     Null or wordless text: no words, nothing hit. Null item text: no windows. A null item id
     marks words, but isn't listed. Repeated items: once. Empty benchmark: nothing hit.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
-    if size > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {BENCHMARK_BYTES} are sent to the executors")
-    chunks, room = [[]], 0
-    for row in benchmark.select(item_id, item_text).distinct().collect():  # bounded by the check above
-        if chunks[-1] and room + len(row[1] or "") > AUTOMATON_BYTES:
-            chunks.append([])
-            room = 0
-        chunks[-1].append((row[0], row[1]))
-        room += len(row[1] or "")
-    sent, key = spark.sparkContext.broadcast(chunks), uuid.uuid4().hex
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("contaminated", pa.bool_())])
-
-    @F.arrow_udf("n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>, contaminated boolean")
-    def scan(texts: pa.Array) -> pa.Array:
-        return pa.array(_scan(texts.to_pylist(), sent.value, key, window), kind)
-
-    return docs.withColumn(fresh(docs, "contamination")[0], scan(F.col(text_col)))
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).distinct()
+    n_words, n_bytes = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(_ANY_WORD))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n_words // AUTOMATON_WORDS), -(-n_bytes // AUTOMATON_BYTES), 1)
+    run, span = (pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())])) for x, y in (("first", "after"), ("start", "end")))
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("runs", run), ("spans", span), ("contaminated", pa.bool_())])
+    declared = "n_words long, n_hit long, items array<long>, runs array<struct<first:long,after:long>>, spans array<struct<start:long,end:long>>, contaminated boolean"
+    into = fresh(docs, "contamination")[0]
+    for part in range(parts):
+        mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
+        sent, key = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()]), uuid.uuid4().hex  # a part, bounded above
+
+        def scan(texts: pa.Array, before: pa.Array | None = None, sent=sent, key=key) -> pa.Array:
+            old = before.to_pylist() if before is not None else [None] * len(texts)
+            return pa.array(_scan(texts.to_pylist(), old, _machine(key, sent.value, window)), kind)
+
+        if not part:
+            first = F.arrow_udf(lambda texts, f=scan: f(texts), declared)
+            out = docs.withColumn(into, first(F.col(text_col)))
+        else:
+            further = F.arrow_udf(lambda texts, before, f=scan: f(texts, before), declared)
+            out = stored(out, "contamination-pass").withColumn(into, further(F.col(text_col), F.col(into)))
+    return out
 
 
 def items_digest(items: Column) -> Column:

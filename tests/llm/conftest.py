@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 import pytest
+from llm_texts import prose
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, Host string, evidence double, contamination string, secrets string"
 
 
-def prose(seed: int, words: int) -> str:
-    dice = random.Random(seed)
-    return " ".join("".join(dice.choice("abcdeghilmnorstu") for _ in range(dice.randint(2, 9))) for _ in range(words))
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, repeated rows and ids, an empty and a very long text, clashing column names."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import duckdb
-from conftest import prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm_texts import prose
 
 from keystrata.llm import decontamination as D
 
@@ -47,6 +49,23 @@ def test_against_brute_force(spark, odd_docs, no_docs, monkeypatch):
     assert "contamination_" in D.find_contamination(odd_docs, bench.limit(0)).columns
 
 
+_few_words = st.lists(st.sampled_from(["a", "b", "c"]), max_size=40).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_few_words, max_size=4), _few_words, st.integers(1, 14))
+def test_machine_against_brute_force(items, text, window):
+    items = list(enumerate(items))
+    (got,) = D._scan([text], [None], D.ItemMachine(items, window))
+    assert (got["n_words"], got["n_hit"], got["items"]) == _brute(text, items, window)
+
+
+def test_one_node_for_each_item_word():
+    items = [(i, prose(i, 400)) for i in range(200)]
+    machine = D.ItemMachine(items, D.WINDOW).machine
+    assert machine.get_stats()["nodes_count"] <= 80_001
+
+
 def test_sql(spark, sf_dir):
     got = {r.doc_id: tuple(r) for r in D.op2_decontamination(spark, sf_dir).collect()}
     duck = duckdb.connect()

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import prose
+from llm_texts import prose
 
 from keystrata.llm import near_dedup as N
 from keystrata.llm.components import connected_components

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from keystrata.llm.binary_output import op7_binary_output, read_tokens, write_tokens
-from keystrata.llm.packing import TIERS, op5_packing, pack_documents
+from keystrata.llm.packing import STEP_TOKENS, TIERS, op5_packing, pack_documents
 from keystrata.llm.shared import shared_dir
 from keystrata.llm.tokens import encoder
 
@@ -31,6 +31,14 @@ def test_cached_words_equal_the_library(text):
     assert encoder(PATH).encode([text], 7)[0].tolist() == _ids(text, 7)
 
 
+def test_texts_together_and_other_tokenizers():
+    texts = ["Ça va? 12ab, l'eau Œuvre", None, "x" * 70000, "a<|b c", "e\u0301té ok", "one two. THREE!"] * 3
+    assert [x.tolist() for x in encoder(PATH).encode(texts, 7)] == [_ids(t, 7) for t in texts]
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(other)
+    assert [x.tolist() for x in encoder(other).encode(texts, 7)] == [plain.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+
+
 def test_special_tokens_in_a_text():
     for text in ("a<|endoftext|>b", "<|endoftext|>", "x <|startoftext|>. <|end"):
         assert encoder(PATH).encode([text], 0)[0].tolist() == _ids(text, 0)
@@ -84,7 +92,8 @@ def _check_pieces(pieces, docs):
     groups = defaultdict(int)
     for some in windows.values():
         groups[some[0].step_group] += some[0].context
-    assert max(groups.values(), default=0) <= 1 << 17
+    last = {g >> 40: max(x for x in groups if x >> 40 == g >> 40) for g in groups}
+    assert all(n == STEP_TOKENS or last[g >> 40] == g and n <= STEP_TOKENS for g, n in groups.items() if g >> 40)
 
 
 def test_packing_of_odd_documents(odd_docs, no_docs):

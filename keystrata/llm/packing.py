@@ -7,28 +7,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import bounded_batches
+from keystrata.llm.shared import bounded_batches, stored
 from keystrata.llm.tokens import encoder
 
 #: Context sizes; each a power of two, so that a full window of any tier needs no padding.
 TIERS = (512, 1024, 2048, 4096)
-#: Tokens of a step group: every group holds as many, whatever its tier.
+#: Tokens of a step group: every group holds as many, whatever its tier, but for the last of each.
 STEP_TOKENS = 1 << 16
 #: Tokens that wait in a task before they are packed; bounds its memory.
 BUFFER_TOKENS = 1 << 20
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, context long, step_group long, ids binary"
+#: Rows of (tier, task, tokens before) that are broadcast, 24 bytes each; more are joined by a shuffle.
+BROADCAST_LINES = 1 << 20
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, context long, part long, tier long, before long, ids binary"
+_LONGS = PIECES.count("long")
 
 
 class _Packer:
     """Packs the rows of one task. An item is (length, doc id, start, doc tokens, ids)."""
 
-    def __init__(self, part: int, tiers: tuple[int, ...], step_tokens: int):
-        self.tiers, self.step_tokens, self.base = tiers, step_tokens, part << 40
+    def __init__(self, part: int, tiers: tuple[int, ...]):
+        self.tiers, self.part, self.base = tiers, part, part << 40
         self.waiting: dict[int, list[tuple]] = {t: [] for t in tiers}
-        self.held, self.done, self.of_tier = 0, 0, dict.fromkeys(tiers, 0)
+        self.held, self.done, self.of_tier = 0, 0, [0] * (len(tiers) + 1)
         self.pieces: list[tuple] = []
 
     def route(self, item: tuple) -> None:
@@ -47,14 +50,12 @@ class _Packer:
             self.pack(last=False)
 
     def emit(self, items: list[tuple], context: int) -> None:
-        """One sequence. Step groups fill up tier by tier to the same number of tokens."""
-        tier = max(context, self.tiers[0])
-        group = self.base + (self.tiers.index(tier) << 36) + self.of_tier[tier] // self.step_tokens
-        self.of_tier[tier] += context
-        offset = 0
+        """One sequence, with its tier (0: shorter than all) and that tier's tokens before it in the task."""
+        tier, offset = bisect.bisect_right(self.tiers, context), 0
         for length, doc_id, start, total, ids in items:
-            self.pieces.append((doc_id, start, length, total, self.base + self.done, offset, context, group, ids.astype("<u4").tobytes()))
+            self.pieces.append((doc_id, start, length, total, self.base + self.done, offset, context, self.part, tier, self.of_tier[tier], ids.astype("<u4").tobytes()))
             offset += length
+        self.of_tier[tier] += context
         self.done += 1
 
     def take(self, room: int) -> tuple | None:
@@ -98,7 +99,7 @@ class _Packer:
             self.emit(window, context)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        kinds = (*[pa.int64()] * 8, pa.binary())
+        kinds = (*[pa.int64()] * _LONGS, pa.binary())
         names = [x.split()[0] for x in PIECES.split(", ")]
         for at in range(0, len(self.pieces), 1024):
             some = self.pieces[at : at + 1024]
@@ -120,9 +121,16 @@ def pack_documents(
     Documents are routed by length to tiers of context sizes (powers of two) and packed tier by
     tier where they lie: each scan partition is packed on its own, without a shuffle, in a bounded
     buffer, so a lost task is repeated alone and a hot source or a very long document needs no
-    special care. sequence_id and step_group hold the partition number in their upper bits.
+    special care. sequence_id holds the partition number in its upper bits.
+
+    Step groups are balanced over all tasks: the packed pieces are written once, each task's tokens
+    of a tier are summed, and a prefix sum over the tasks places every sequence in its tier's
+    line, which is cut into groups of step_tokens. Only the last group of a tier is short.
+    step_group holds the tier's number in its upper bits.
 
     ``context`` is the sequence's length: it equals the sum of its pieces, so nothing is padded.
+    What is left at the end of a task makes windows of falling powers of two; those below the
+    shortest tier, fewer tokens than that tier's window for each task, have groups of their own.
     Null text: only the end id. Null ids and repeated rows are packed as they come. Empty table:
     no rows.
     """
@@ -131,15 +139,23 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, enc = _Packer(TaskContext.get().partitionId(), tiers, step_tokens), encoder(tokenizer_path)
+        packer, enc = _Packer(TaskContext.get().partitionId(), tiers), encoder(tokenizer_path)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add(doc_id, enc.encode([text], end_id)[0])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist(), end_id), strict=True):
+                packer.add(doc_id, ids)
             yield from packer.flush()
         packer.pack(last=True)
         yield from packer.flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pack, PIECES)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    pieces = stored(rows.mapInArrow(pack, PIECES), "packed-pieces")
+    lines = pieces.groupBy("tier", "part").agg(F.sum("length").alias("tokens"))
+    before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lines = stored(lines.select("tier", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "packed-lines")
+    if lines.count() <= BROADCAST_LINES:
+        lines = F.broadcast(lines)
+    group = F.shiftleft("tier", 40) + F.floor((F.col("base") + F.col("before")) / step_tokens)
+    return pieces.join(lines, ["tier", "part"]).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "context", group.alias("step_group"), "ids")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

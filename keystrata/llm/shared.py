@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that a Python worker receives at once; whole texts stay whole.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2048
 
 #: Words are runs of ASCII letters and digits and of all non-ASCII characters, with A-Z lowered.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ MIN_RATIO, MIN_RATIO_PER_CHAR = 8.0, 0.35
 MIN_LETTERS_RATIO_PER_CHAR = 1.0
 #: Counted with every pair of characters before the samples are.
 SMOOTHING = 0.5
-#: Samples of each label.
+#: Samples of each kind: made-up strings and identifiers, and words of prose, those of the least hashes.
 SAMPLES = 4000
 #: Words of ordinary identifiers in the samples.
 IDENTIFIER_WORDS = (
@@ -41,6 +42,9 @@ IDENTIFIER_WORDS = (
     "select query filter group join sort limit offset default public private static main test build release debug info warning message handler manager"
 ).split()
 
+#: Rows of a block of a fold.
+FOLD = 128
+
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int>>"
 
 
@@ -49,7 +53,8 @@ def labelled_samples(spark: SparkSession, prose: DataFrame | None = None, text_c
 
     Random strings are digests in both kinds of base 64, base 32 style and hexadecimal. Identifiers
     join two to four words in snake, kebab and camel case and as paths, some with a number or date; words
-    come from IDENTIFIER_WORDS and, if given, from ordinary prose.
+    come from IDENTIFIER_WORDS. If prose is given, SAMPLES of its distinct words are ordinary too, chosen by
+    their hash among all, so the models don't depend on how rows are dealt.
     """
     n = spark.range(SAMPLES).select("id", F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
@@ -62,7 +67,7 @@ def labelled_samples(spark: SparkSession, prose: DataFrame | None = None, text_c
     day = F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 5 % 20_000).cast("int")), "yyyy/MM/dd")
     ordinary = n.select(F.explode(F.array(F.concat_ws("_", a, b, c, year), F.concat_ws("-", a, b, c), F.concat(a, F.initcap(b), F.initcap(c), year), F.upper(F.concat_ws("_", a, b, c)), F.concat_ws("/", F.lit(""), a, b, c, year), F.concat_ws("/", a, day, b))).alias("sample"), F.lit(False).alias("random"))
     if prose is not None:
-        found = prose.select(F.explode(F.split(F.col(text_col), "[^A-Za-z]+")).alias("sample")).filter("length(sample) > 3").limit(SAMPLES)
+        found = prose.select(F.explode(F.split(F.col(text_col), "[^A-Za-z]+")).alias("sample")).filter("length(sample) > 3").distinct().orderBy(F.xxhash64("sample"), "sample").limit(SAMPLES)
         ordinary = ordinary.unionByName(found.select("sample", F.lit(False).alias("random")))
     return random.unionByName(ordinary)
 
@@ -76,9 +81,8 @@ def log_ratios(samples: DataFrame) -> list[float]:
     pairs = F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substring(F.col("sample"), i, F.lit(2)))
     counted = samples.filter("length(sample) > 1").select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
     counts = {True: [[SMOOTHING] * k for _ in range(k)], False: [[SMOOTHING] * k for _ in range(k)]}
-    for random, pair, n in counted.collect():  # at most two rows for each pair of the alphabet
-        if pair[0] in ALPHABET and pair[1] in ALPHABET:
-            counts[random][ALPHABET.index(pair[0])][ALPHABET.index(pair[1])] += n
+    for random, pair, n in counted.filter(F.col("pair").rlike("^[A-Za-z0-9+/_-]{2}$")).collect():  # at most two rows for each pair of the alphabet
+        counts[random][ALPHABET.index(pair[0])][ALPHABET.index(pair[1])] += n
     return [
         math.log(counts[True][i][j] / sum(counts[True][i])) - math.log(counts[False][i][j] / sum(counts[False][i]))
         for i in range(k)
@@ -86,22 +90,60 @@ def log_ratios(samples: DataFrame) -> list[float]:
     ]
 
 
-def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of all matches, leftmost and non-overlapping, that keep(match, index) holds for.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row; lambdas would compute an expression for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _fold(rows: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What step emits over an array in order, of the array type kind: (state, row) to (next state, emitted array).
+
+    An array that grows is copied at every step, so rows are folded in blocks and the blocks'
+    arrays flattened: the work stays about in proportion to the rows.
+    """
+    none = F.array().cast(kind)
+
+    def inner(acc: Column, row: Column) -> Column:
+        after, emitted = step(acc["state"], row)
+        return F.struct(after.alias("state"), F.concat(acc["out"], emitted).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        got = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), inner)
+        return _let(got, lambda g: F.struct(g["state"].alias("state"), F.concat(acc["out"], F.array(g["out"])).alias("out")))
+
+    begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(_blocks(rows), begin, block, lambda acc: F.flatten(acc["out"]))
+
+
+def _blocks(rows: Column) -> Column:
+    """An array cut into arrays of FOLD."""
+    last = lambda r: F.greatest(F.floor((F.size(r) - 1) / FOLD), F.lit(0)).cast("int")
+    return _let(rows, lambda r: F.transform(F.sequence(F.lit(0), last(r)), lambda b: F.slice(r, b * FOLD + 1, F.lit(FOLD))))
+
+
+def _span(start: Column, end: Column, kind: Column) -> Column:
+    return F.array(F.struct(start.alias("start"), end.alias("end"), kind.alias("kind"))).cast(_SPAN)
+
+
+def _matches(text: Column, pattern: str, kind: int, judged: Callable[[Column], Column]) -> Column:
+    """Spans of all matches, leftmost and non-overlapping, for which judged(matches) holds.
 
     Splitting at the pattern gives the pieces between matches, so a running sum of lengths gives
     every position in code points.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.length(F.element_at(between, 1)).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
+    none = F.array().cast(_SPAN)
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["m"])
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct((end + F.length(x["gap"])).cast("long").alias("at"), F.when(x["keep"], F.concat(acc["spans"], span.cast(_SPAN))).otherwise(acc["spans"]).alias("spans"))
+    def spans(v: Column) -> Column:
+        gaps = F.slice(v["between"], 2, F.size(v["found"]) + 1)
+        sizes = F.zip_with(v["found"], gaps, lambda m, g: F.struct(F.length(m).cast("long").alias("m"), F.length(g).cast("long").alias("gap")))
+        rows = F.zip_with(sizes, judged(v["found"]), lambda x, keep: F.struct(x["m"].alias("m"), x["gap"].alias("gap"), keep.alias("keep")))
 
-    rows = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.element_at(between, (i + 2).cast("int")).alias("gap"), keep(m, i).alias("keep")))
-    return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            return at + x["m"] + x["gap"], F.when(x["keep"], _span(at, at + x["m"], F.lit(kind))).otherwise(none)
+
+        return _fold(rows, F.length(F.element_at(v["between"], 1)).cast("long"), step, _SPAN)
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between")), spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -109,14 +151,15 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(_SPAN)
     low = F.lower(text)
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+    every = lambda found: F.transform(found, lambda m: F.lit(True))
     assign = F.when(
         F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api")),
-        _matches(text, ASSIGN, 0, lambda m, i: F.length(F.element_at(values, (i + 1).cast("int"))) >= ASSIGN_CHARS),
+        _matches(text, ASSIGN, 0, lambda found: F.transform(values, lambda v: F.length(v) >= ASSIGN_CHARS)),
     ).otherwise(none)
-    access = F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS, 1, lambda m, i: F.length(m) >= ACCESS_CHARS)).otherwise(none)
+    access = F.when(F.contains(text, F.lit("AKIA")), _matches(text, ACCESS, 1, lambda found: F.transform(found, lambda m: F.length(m) >= ACCESS_CHARS))).otherwise(none)
     # A run of hex digits is never part of a longer one, so the least length can stand in the pattern.
     long_run = "[0-9a-f]{%d,}+" % HEX_CHARS
-    hexes = F.when(text.rlike(long_run), _matches(text, long_run, 2, lambda m, i: F.lit(True))).otherwise(none)
+    hexes = F.when(text.rlike(long_run), _matches(text, long_run, 2, every)).otherwise(none)
     return _sorted(F.concat(assign, access, hexes))
 
 
@@ -130,37 +173,40 @@ def markov_spans(text: Column, ratios: list[float]) -> tuple[Column, Column]:
     """Spans of whole candidates, and of parts between slashes, that the random model explains better by the set ratio."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 
-    def likely(m: Column, i: Column) -> Column:
-        m = F.rtrim(m, F.lit("="))
-        codes = F.transform(F.sequence(F.lit(1), F.length(m)), lambda j: F.position(F.substring(m, j, F.lit(1)), F.lit(ALPHABET)))
-        first = F.slice(codes, 1, F.size(codes) - 1)
-        score = F.aggregate(
-            F.zip_with(first, F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int"))),
-            F.lit(0.0),
-            lambda acc, x: acc + x,
-        )
+    def likely(m: Column) -> Column:
+        own = F.rtrim(m, F.lit("="))
+        codes = F.transform(F.split(own, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+        pairs = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int")))
+        score = _let(codes, lambda c: F.aggregate(pairs(c), F.lit(0.0), lambda acc, x: acc + x))
         per_char = F.when(m.rlike("[0-9]"), MIN_RATIO_PER_CHAR).otherwise(MIN_LETTERS_RATIO_PER_CHAR)
-        return m.rlike("[A-Za-z]") & (score >= MIN_RATIO) & (score >= per_char * F.length(m))
+        return m.rlike("[A-Za-z]") & _let(score, lambda x: (x >= MIN_RATIO) & (x >= per_char * F.length(own)))
 
-    found = [F.when(text.rlike(pattern), _matches(text, pattern, 3, likely)).otherwise(F.array().cast(_SPAN)) for pattern in (CANDIDATE, PART)]
+    judged = lambda found: F.transform(found, likely)
+    found = [F.when(text.rlike(pattern), _matches(text, pattern, 3, judged)).otherwise(F.array().cast(_SPAN)) for pattern in (CANDIDATE, PART)]
     return found[0], found[1]
 
 
 def _beyond(spans: Column, others: Column) -> Column:
-    """What spans cover and others, sorted by start, don't."""
-
-    def pieces(s: Column) -> Column:
-        piece = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end"), s["kind"].alias("kind"))).cast(_SPAN)
+    """What spans, sorted and disjoint, cover and others don't: one pass over both in order of their starts.
 
-        def step(acc: Column, o: Column) -> Column:
-            grown = F.when(o["start"] > acc["at"], F.concat(acc["spans"], piece(acc["at"], o["start"]))).otherwise(acc["spans"])
-            return F.struct(F.greatest(acc["at"], o["end"]).alias("at"), grown.alias("spans"))
+    The state is the piece of a span that is still open and how far others reach.
+    """
+    top = F.lit((1 << 63) - 1).cast("long")
+    sided = lambda some, side: F.transform(some, lambda s: F.struct(s["start"].alias("start"), F.lit(side).alias("side"), s["end"].alias("end"), s["kind"].alias("kind")))
+    last = F.array(F.struct(top.alias("start"), F.lit(1).alias("side"), top.alias("end"), F.lit(0).alias("kind")))
+    none = F.array().cast(_SPAN)
+    state = lambda start, end, kind, until: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), kind.cast("int").alias("kind"), until.cast("long").alias("until"))
 
-        cut = F.filter(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
-        begin = F.struct(s["start"].alias("at"), F.array().cast(_SPAN).alias("spans"))
-        return F.aggregate(cut, begin, step, lambda acc: F.when(acc["at"] < s["end"], F.concat(acc["spans"], piece(acc["at"], s["end"]))).otherwise(acc["spans"]))
+    def step(open_: Column, row: Column) -> tuple[Column, Column]:
+        begins = row["side"] == 1
+        before = F.when(begins, open_["end"]).otherwise(F.least(open_["end"], row["start"]))
+        emitted = F.when(before > open_["start"], _span(open_["start"], before, open_["kind"])).otherwise(none)
+        cut = state(F.greatest(open_["start"], row["end"]), open_["end"], open_["kind"], F.greatest(open_["until"], row["end"]))
+        return F.when(begins, state(F.greatest(row["start"], open_["until"]), row["end"], row["kind"], open_["until"])).otherwise(cut), emitted
 
-    return F.flatten(F.transform(spans, pieces))
+    rows = F.array_sort(F.concat(sided(spans, 1), sided(others, 0), last))
+    zero = F.lit(0)
+    return F.when(F.size(spans) == 0, none).otherwise(_fold(rows, state(zero, zero, zero, zero), step, _SPAN))
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFrame:
@@ -174,12 +220,11 @@ def find_secrets(docs: DataFrame, samples: DataFrame, text_col: str = "text", in
     Null text: empty, no spans. Repeated rows: each scanned alone. Empty table: no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base, runs, parts, column = fresh(docs, "base_spans", "run_spans", "part_spans", into)
     whole, between = markov_spans(text, log_ratios(samples))
-    out = docs.withColumns({base: base_spans(text), runs: whole, parts: between})
-    more = F.concat(F.col(runs), _beyond(F.col(parts), F.col(runs)))
-    both = _sorted(F.concat(F.col(base), _beyond(more, F.col(base))))
-    return out.withColumn(column, F.struct(F.col(base).alias("base"), both.alias("spans"))).drop(base, runs, parts)
+    base = base_spans(text)
+    more = _let(whole, lambda runs: _sorted(F.concat(runs, _beyond(between, runs))))
+    both = _let(base, lambda b: F.struct(b.alias("base"), _sorted(F.concat(b, _beyond(more, b))).alias("spans")))
+    return docs.withColumn(fresh(docs, into)[0], both)
 
 
 def span_list(spans: Column) -> Column:
@@ -190,20 +235,24 @@ def span_list(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each span, or run of overlapping spans, replaced by a mark."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        apart = (F.size(acc) == 0) | (s["start"] >= F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(apart, F.concat(acc, F.array(own))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
-
-    runs = F.aggregate(spans, none, merge)
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["end"]))
-    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length(text).cast("long")))
-    kept = F.zip_with(begins, ends, lambda b, e: F.substring(text, (b + 1).cast("int"), (e - b).cast("int")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(kept, mark))
+    size = F.length(text).cast("long")
+    pair = lambda start, end: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def keep(state: Column, s: Column) -> tuple[Column, Column]:
+        """The state is the last run of spans; what lies between it and the next one is kept."""
+        apart = s["start"] >= state["end"]
+        after = F.when(apart, pair(s["start"], s["end"])).otherwise(pair(state["start"], F.greatest(state["end"], s["end"])))
+        return after, F.when(apart, F.array(pair(state["end"], s["start"]))).otherwise(F.array().cast(kind))
+
+    def cut(block: Column) -> Column:
+        """A block's pieces, from the part of the text that it spans."""
+        first = F.element_at(block, 1)["start"]
+        part = F.substring(text, (first + 1).cast("int"), (F.element_at(block, -1)["end"] - first).cast("int"))
+        return _let(F.struct(first.alias("first"), part.alias("part")), lambda v: F.transform(block, lambda p: F.substring(v["part"], (p["start"] - v["first"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))))
+
+    kept = _fold(F.concat(spans, _span(size, size, F.lit(0))), pair(F.lit(0), F.lit(0)), keep, kind)
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.flatten(F.transform(_blocks(kept), cut)), mark))
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

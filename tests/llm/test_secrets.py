@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,70 @@ def test_base_spans_and_redaction(spark, odd_docs):
     assert n > 100
 
 
+def _markov(text, ratios, base):
+    """The method's spans by marking characters one by one."""
+    place = {c: i for i, c in enumerate(S.ALPHABET)}
+    owner = [None] * len(text)
+
+    def mark(known):
+        for m in re.finditer(rf"(?<![{known}])[{known}]{{16,}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?", text):
+            own = m[0].rstrip("=")
+            score = sum(ratios[place[a] * len(place) + place[b]] for a, b in zip(own, own[1:], strict=False))
+            per_char = 0.35 if re.search("[0-9]", own) else 1.0
+            if re.search("[A-Za-z]", own) and score >= 8 and score >= per_char * len(own):
+                for i in range(*m.span()):
+                    owner[i] = owner[i] or (known, m.start())
+
+    mark("A-Za-z0-9+/_-")
+    mark("A-Za-z0-9+_-")
+    for start, _, end in base:
+        owner[start:end] = [None] * (end - start)
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and owner[end] == owner[at]:
+            end += 1
+        if owner[at]:
+            out.append((at, 3, end))
+        at = end
+    return out
+
+
+def test_method_spans_against_brute_force(spark, sf_dir):
+    samples = S.labelled_samples(spark, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ratios = S.log_ratios(samples)
+    dice = random.Random(5)
+    parts = ["/", "=", "==", " ", "_", "-", "AKIA" + "Q7XW2ZLM9PRT4KVB", "deadbeef" * 4, "name_of_the_session", "token=abcdefgh", "é"]
+    coded = lambda: base64.b64encode(dice.randbytes(dice.randint(6, 40))).decode()
+    rows = [(i, "".join(dice.choice([coded(), dice.choice(parts)]) for _ in range(dice.randint(1, 20)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    n = 0
+    for r in S.find_secrets(docs, samples).collect():
+        base = _base(r.text)
+        want = _markov(r.text or "", ratios, base)
+        assert [(s.start, s.kind, s.end) for s in r.secrets.spans] == sorted(base + want), r.text
+        n += len(want)
+    assert n > 200
+
+
+def test_models_do_not_depend_on_partitions(spark, sf_dir):
+    prose = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert S.log_ratios(S.labelled_samples(spark, prose)) == S.log_ratios(S.labelled_samples(spark, prose.repartition(7)))
+
+
+def test_very_many_matches_in_one_text(spark):
+    dice = random.Random(3)
+    text = " ".join(f"token=abcdefgh{i} {base64.b64encode(dice.randbytes(24)).decode()}" for i in range(20_000))
+    blob = "x " + base64.b64encode(dice.randbytes(300_000)).decode()
+    docs = spark.createDataFrame([(1, text), (2, blob)], "doc_id bigint, text string").repartition(2)
+    found = S.find_secrets(docs, S.labelled_samples(spark)).select("doc_id", F.size("secrets.base").alias("base"), F.size("secrets.spans").alias("spans"), F.length(S.redacted(F.col("text"), F.col("secrets")["spans"])).alias("left"))
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in found.collect()}
+    assert time.perf_counter() - began < 10
+    assert got[1].base == 20_000 and got[1].spans >= 39_000 and got[1].left < 500_000
+    assert (got[2].base, got[2].left) == (0, len("x [SECRET]"))
+
+
 def test_names_and_empty_table(spark, odd_docs, no_docs):
     samples = S.labelled_samples(spark)
     assert "secrets_" in S.find_secrets(odd_docs, samples).columns

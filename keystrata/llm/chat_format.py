@@ -36,25 +36,36 @@ def canonical(raw: Column) -> Column:
 def _levels(calls: DataFrame, references: DataFrame) -> DataFrame:
     """Topological level of every call (conv, call): one more than the highest level it refers to.
 
-    Each round places the calls all of whose references are placed, by joins and grouped sums.
-    What no round places lies on or behind a cycle and gets null. Rounds: the longest chain.
+    Calls with one reference form chains. Each follows its pointer to where a chain begins, and the
+    pointers double their length from round to round, so a chain of n calls takes about log n
+    rounds. What then remains are calls with several references: each round places those all of
+    whose references are placed, so there are as many rounds as such calls follow each other. What
+    is never placed lies on or behind a cycle and gets null.
     """
     key = ["conv", "call"]
-    known = references.join(calls.select("conv", F.col("call").alias("needs")), ["conv", "needs"], "left_semi")
-    left = calls.select(*key)
-    placed = None
-    level = 0
-    while True:
-        waiting = known if placed is None else known.join(placed.select("conv", F.col("call").alias("needs")), ["conv", "needs"], "left_anti")
-        now = left.join(waiting.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(level))
-        now = stored(now, "chat-level")
-        if now.isEmpty():
+    known = stored(references.join(calls.select("conv", F.col("call").alias("needs")), ["conv", "needs"], "left_semi").select("conv", "call", "needs"), "chat-references")
+    degree = known.groupBy(*key).agg(F.count(F.lit(1)).alias("degree"))
+    pointers = stored(known.join(degree.filter("degree = 1"), key, "left_semi").withColumn("steps", F.lit(1)), "chat-pointers")
+    for _ in range(pointers.count().bit_length() + 1):
+        further = pointers.select("conv", F.col("call").alias("needs"), F.col("needs").alias("next"), F.col("steps").alias("more"))
+        joined = stored(pointers.join(further, ["conv", "needs"], "left"), "chat-jumps")
+        if joined.filter("next is not null").isEmpty():
             break
-        placed = now if placed is None else placed.unionByName(now)
-        left = stored(left.join(now, key, "left_anti"), "chat-left")
-        level += 1
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if placed is None else placed.unionByName(rest)
+        pointers = joined.select("conv", "call", F.coalesce("next", "needs").alias("needs"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+    begins = pointers.select("conv", F.col("call").alias("needs"), F.col("needs").alias("next"), F.col("steps").alias("more"))
+    several = known.join(degree.filter("degree > 1"), key, "left_semi").join(begins, ["conv", "needs"], "left")
+    waiting = stored(several.select("conv", "call", F.coalesce("next", "needs").alias("needs"), (F.coalesce("more", F.lit(0)) + 1).alias("steps")), "chat-several")
+    placed = stored(calls.select(*key).join(degree, key, "left_anti").withColumn("level", F.lit(0)), "chat-level")
+    while not waiting.isEmpty():
+        on = waiting.join(placed.select("conv", F.col("call").alias("needs"), "level"), ["conv", "needs"], "left")
+        found = on.groupBy(*key).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("steps")).alias("level"))
+        found = stored(found.filter("open = 0").select(*key, "level"), "chat-found")
+        if found.isEmpty():
+            break
+        placed = stored(placed.unionByName(found), "chat-level")
+        waiting = stored(waiting.join(found, key, "left_anti"), "chat-several")
+    chained = pointers.join(placed.select("conv", F.col("call").alias("needs"), "level"), ["conv", "needs"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return calls.select(*key).join(placed.unionByName(chained), key, "left")
 
 
 def _problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -160,16 +171,82 @@ def _with_calls(rich: DataFrame, schemas: DataFrame) -> DataFrame:
     )
 
 
+def with_derived_calls(conversations: DataFrame) -> DataFrame:
+    """Conversations whose texts end with tool calls and results made up from conv_id and turn.
+
+    An assistant's turn calls "c" and its turn, in six forms by (7 conv_id + turn) mod 6: with valid
+    arguments, with a wrong or a missing one, of an unknown tool, with references to calls of two
+    and four turns before; some also call "d" and the turn, which stands first and refers to the
+    other call. Other turns answer calls of the turn before, but not all. Keys stand unsorted and
+    with blanks. Null conv_id or turn: no call.
+    """
+    t, conv = F.col("turn"), F.col("conv_id")
+    form = F.pmod(conv * 7 + t, F.lit(6))
+    refer = lambda back: F.concat(F.lit('{"$ref": "c'), t - back, F.lit('"}'))
+    arguments = (
+        F.when(form == 0, F.concat(F.lit('{"query": "q'), t, F.lit('", "limit": '), t, F.lit("}")))
+        .when(form == 1, F.concat(F.lit('{"expression": "'), t, F.lit("+"), conv, F.lit('"}')))
+        .when(form == 2, F.concat(F.lit('{"query": '), refer(2), F.lit(', "limit": "'), t, F.lit('"}')))
+        .when(form == 3, "{}")
+        .when(form == 4, F.concat(F.lit('{"query": '), refer(2), F.lit(', "limit": '), refer(4), F.lit("}")))
+        .otherwise('{"to": "x"}')
+    )
+    name = F.when(form == 1, "calculator").when(form == 5, "teleport").otherwise("search")
+    call = lambda mark, name, arguments: F.concat(F.lit('\n<tool_call>{"name": "'), name, F.lit(f'", "id": "{mark}'), t, F.lit('", "arguments": '), arguments, F.lit("}</tool_call>"))
+    result = lambda mark, content: F.concat(F.lit(f'\n<tool_result>{{"id": "{mark}'), t - 1, F.lit('", "content": '), content, F.lit("}</tool_result>"))
+    calls = F.concat(F.when(form < 2, call("d", F.lit("fetch"), F.concat(F.lit('{"url": '), refer(0), F.lit("}")))).otherwise(""), call("c", name, arguments))
+    answers = F.concat(
+        F.when(F.pmod(conv + t, F.lit(4)) != 0, result("c", F.concat(F.lit('{"turn": '), t, F.lit(', "ok": true}')))).otherwise(""),
+        F.when(F.pmod(t, F.lit(2)) == 0, result("d", t.cast("string"))).otherwise(""),
+    )
+    added = F.when(F.col("role") == "assistant", calls).when(t > 0, answers)
+    return conversations.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.coalesce(added, F.lit(""))))
+
+
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
-    """Canonical lines of all conversations."""
+    """Canonical lines of all conversations, with tool calls derived from their rows."""
     schemas = spark.createDataFrame(list(SCHEMAS), "tool string, argument string, type string, required boolean")
-    return format_chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"), schemas)
+    return format_chat(with_derived_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")), schemas)
 
 
 OP10_SQL = """
-SELECT conv_id, turn, CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN role ELSE 'user' END AS role,
-       0::BIGINT AS n_calls, 0::BIGINT AS n_results, 0::BIGINT AS n_invalid,
-       '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"conv_id":' || coalesce(conv_id::VARCHAR, 'null')
-       || ',"role":"' || CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN role ELSE 'user' END || '","turn":' || coalesce(turn::VARCHAR, 'null') || '}' AS json
-FROM conversations
-"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, coalesce(role = 'assistant', false) AS asks, CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN role ELSE 'user' END AS role,
+         coalesce(text, '') AS body, (7 * conv_id + turn) % 6 AS form, turn::VARCHAR AS t FROM conversations),
+c AS (
+  SELECT conv_id, turn, (form < 2)::INT AS place, 'c' || t AS call, CASE form WHEN 1 THEN 'calculator' WHEN 5 THEN 'teleport' ELSE 'search' END AS name,
+         CASE form WHEN 0 THEN '{"query": "q' || t || '", "limit": ' || t || '}' WHEN 1 THEN '{"expression": "' || t || '+' || conv_id || '"}'
+           WHEN 2 THEN '{"query": {"$ref": "c' || (turn - 2) || '"}, "limit": "' || t || '"}' WHEN 3 THEN '{}'
+           WHEN 4 THEN '{"query": {"$ref": "c' || (turn - 2) || '"}, "limit": {"$ref": "c' || (turn - 4) || '"}}' ELSE '{"to": "x"}' END AS given
+  FROM m WHERE asks
+  UNION ALL SELECT conv_id, turn, 0, 'd' || t, 'fetch', '{"url": {"$ref": "c' || t || '"}}' FROM m WHERE asks AND form < 2),
+argument AS (SELECT c.*, u.k AS k, json_extract(given, '$."' || u.k || '"') AS v FROM c, unnest(json_keys(given)) AS u(k)),
+refs AS (SELECT DISTINCT a.conv_id, a.call, v->>'$."$ref"' AS needs FROM argument a JOIN c ON c.conv_id = a.conv_id AND c.call = a.v->>'$."$ref"'),
+walk(conv_id, call, level) AS (
+  SELECT conv_id, call, 0 FROM c UNION SELECT refs.conv_id, refs.call, level + 1 FROM walk JOIN refs ON refs.conv_id = walk.conv_id AND refs.needs = walk.call),
+levels AS (SELECT conv_id, call, max(level) AS level FROM walk GROUP BY ALL),
+r AS (
+  SELECT conv_id, turn, 'c' || (turn - 1) AS call, '{"ok":true,"turn":' || t || '}' AS content, '{"turn": ' || t || ', "ok": true}' AS raw FROM m WHERE NOT asks AND turn > 0 AND (conv_id + turn) % 4 <> 0
+  UNION ALL SELECT conv_id, turn, 'd' || (turn - 1), t, t FROM m WHERE NOT asks AND turn > 0 AND turn % 2 = 0),
+schemas(tool, k, type, required) AS (VALUES {schemas}),
+wrong AS (
+  SELECT c.conv_id, c.call, CASE WHEN a.v IS NULL THEN CASE WHEN s.required THEN 'missing ' || s.k END
+      WHEN NOT (CASE s.type WHEN 'string' THEN json_type(a.v) = 'VARCHAR' ELSE json_type(a.v) IN ('UBIGINT', 'BIGINT', 'DOUBLE') END) AND (a.v->>'$."$ref"') IS NULL THEN 'not a ' || s.type || ' in ' || s.k END AS problem
+  FROM c JOIN schemas s ON s.tool = c.name LEFT JOIN argument a ON a.conv_id = c.conv_id AND a.call = c.call AND a.k = s.k
+  UNION ALL SELECT conv_id, call, 'unknown tool' FROM c WHERE name NOT IN (SELECT tool FROM schemas)),
+problems AS (SELECT conv_id, call, list(problem ORDER BY problem) AS found FROM wrong WHERE problem IS NOT NULL GROUP BY ALL),
+sorted AS (SELECT conv_id, call, '{' || coalesce(string_agg('"' || k || '":' || v::VARCHAR, ',' ORDER BY k), '') || '}' AS arguments FROM argument GROUP BY ALL),
+linked AS (
+  SELECT c.*, level, coalesce(arguments, '{}') AS arguments, content, coalesce(found, []) || CASE WHEN content IS NULL THEN ['no result'] ELSE [] END AS found
+  FROM c JOIN levels USING (conv_id, call) LEFT JOIN sorted USING (conv_id, call) LEFT JOIN problems USING (conv_id, call) LEFT JOIN (SELECT conv_id, call, content FROM r) USING (conv_id, call)),
+called AS (
+  SELECT conv_id, turn, count(*) AS n_calls, count(*) FILTER (len(found) > 0) AS n_invalid,
+         string_agg('{"arguments":' || arguments || ',"id":"' || call || '","name":"' || name || '","problems":[' || array_to_string(list_transform(found, lambda p: '"' || p || '"'), ',') || '],"result":' || coalesce(content, 'null') || '}', ',' ORDER BY level, place) AS calls,
+         string_agg(chr(10) || '<tool_call>{"name": "' || name || '", "id": "' || call || '", "arguments": ' || given || '}</tool_call>', '' ORDER BY place) AS added
+  FROM linked GROUP BY ALL),
+answered AS (SELECT conv_id, turn, count(*) AS n_results, string_agg(chr(10) || '<tool_result>{"id": "' || call || '", "content": ' || raw || '}</tool_result>', '' ORDER BY call) AS added FROM r GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results, coalesce(n_invalid, 0)::BIGINT AS n_invalid,
+       '{"content":' || to_json(body || coalesce(called.added, '') || coalesce(answered.added, ''))::VARCHAR || ',"conv_id":' || m.conv_id || ',"role":"' || m.role || '"'
+       || coalesce(',"tool_calls":[' || calls || ']', '') || ',"turn":' || m.turn || '}' AS json
+FROM m LEFT JOIN called ON called.conv_id = m.conv_id AND called.turn = m.turn LEFT JOIN answered ON answered.conv_id = m.conv_id AND answered.turn = m.turn
+""".replace("{schemas}", ", ".join(f"('{tool}', '{k}', '{kind}', {required})" for tool, k, kind, required in SCHEMAS))

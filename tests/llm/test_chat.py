@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import duckdb
 
@@ -67,4 +68,29 @@ def test_empty_and_sql(spark, sf_dir):
     assert C.format_chat(talks.limit(0), spark.createDataFrame(SCHEMAS, "tool string, argument string, type string, required boolean")).count() == 0
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    assert sorted(map(tuple, C.op10_chat_format(spark, sf_dir).collect())) == sorted(duck.sql(C.OP10_SQL).fetchall())
+    got = sorted(map(tuple, C.op10_chat_format(spark, sf_dir).collect()))
+    assert got == sorted(duck.sql(C.OP10_SQL).fetchall())
+    said = "".join(r[-1] for r in got)
+    assert all(x in said for x in ("missing query", "not a number in limit", "unknown tool", "no result", '"result":{"ok":true'))
+
+
+def test_levels_of_long_chains_and_graphs(spark, monkeypatch):
+    dice, rounds = random.Random(2), []
+    plain = C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: rounds.append(name) or plain(df, name))
+    refs = [(1, f"c{i}", f"c{i - 1}") for i in range(1, 1000)]  # one long chain
+    refs += [(2, f"c{i}", f"c{dice.randrange(i)}") for i in range(1, 60) for _ in range(2)]  # several references
+    refs += [(3, "a", "b"), (3, "b", "a"), (3, "c", "a"), (3, "d", "nowhere"), (3, "e", "d"), (3, "e", "c"), (3, "f", "d"), (3, "f", "g")]
+    calls = sorted({(conv, x) for conv, *ends in refs for x in ends} - {(3, "nowhere")})
+    want = dict.fromkeys(calls, 0)
+    for _ in range(1001):
+        old = dict(want)
+        for conv, call, needs in refs:
+            if (conv, needs) in want:
+                want[conv, call] = max(want[conv, call], want[conv, needs] + 1)
+        if old == want or conv == 3 and _ > 1000:
+            break
+    want |= {(3, x): None for x in "abce"}
+    got = C._levels(spark.createDataFrame(calls, "conv bigint, call string"), spark.createDataFrame(refs, "conv bigint, call string, needs string").distinct())
+    assert {(r.conv, r.call): r.level for r in got.collect()} == want
+    assert rounds.count("chat-jumps") <= 13

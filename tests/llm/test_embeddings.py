@@ -37,14 +37,22 @@ def _rows():
     return out + [(407, out[0][1][:8], 0), (408, [x * 1000 for x in out[0][1]], 0), (409, out[1][1][:8], 0), (410, out[0][1][:8], 0)]
 
 
-@pytest.mark.parametrize("pivots, block_rows", [(16, 2048), (4, 7), (0, 50)])
-def test_against_brute_force(spark, pivots, block_rows):
+@pytest.mark.parametrize("of_root, block_rows, labels", [(8, 2048, 64), (1, 7, 2), (0.5, 50, 64)])
+def test_against_brute_force(spark, monkeypatch, of_root, block_rows, labels):
+    monkeypatch.setattr(V, "PIVOTS_OF_ROOT", of_root)
+    monkeypatch.setattr(V, "PIVOT_LABELS", labels)
     rows = _rows()
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.find_near_vectors(df, pivots=pivots, block_rows=block_rows).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in V.find_near_vectors(df, block_rows=block_rows).collect()}
     assert got == _brute(rows)
 
 
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1.0, 2.0], 1), (3, [1e-200, 2e-200], 1), (4, [2.0, -1.0], 1)]
+    got = V.find_near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1)], "vec_id bigint, embedding array<float>, label int")
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in V.find_near_vectors(df).collect()), key=str) == [(5, 1, 5, True), (5, 1, 5, True), (None, 0, None, True)]

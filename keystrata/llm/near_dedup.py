@@ -19,17 +19,23 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 13, 4
 #: Pairs whose samples agree less than this aren't verified; a pair of similarity 0.8 does so once in a million.
 LIKELY = 0.54
-#: Hashed features that document frequencies are counted for; fixes the size of the table that tasks get.
+#: Hashed features whose counts tell which shingles may be frequent.
 FEATURES = 1 << 20
+#: Share of all documents from which on a shingle is frequent; it rises where documents are so long
+#: that chance alone would fill the features.
+FREQUENT = 0.001
 _SLICES = 64
 #: Members of a bucket up to which all its pairs are compared; larger ones go by pivots and blocks.
 SMALL = 24
-#: Rows that one side of a block holds.
-BLOCK_ROWS = 512
+#: Rows and bytes of shingles that one side of a block holds on average.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+#: So many of the largest buckets, if above so many rows, reach their rows by broadcast, 40 bytes each;
+#: any other bucket holds at most one in HOT_BUCKETS of all rows and is joined by its key.
+HOT_BUCKETS, HOT_ROWS = 1 << 16, 64
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 #: Words of a text that are hashed at once; a longer text goes piece by piece.
-_PIECE = 1 << 16
+_PIECE = 1 << 14
 #: Quantiles of gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x).
 _GRID = np.linspace(0, 24, 1 << 18)
 _GAMMA = np.interp((np.arange(1 << 12) + 0.5) / (1 << 12), 1 - (1 + _GRID) * np.exp(-_GRID), _GRID).astype(np.float32)
@@ -87,9 +93,34 @@ def features_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
-def weights_of(shingles: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights: 1 + ln(count), times the feature's inverse document frequency."""
-    return ((1 + np.log(counts)) * idf[features_of(shingles)]).astype(np.float32)
+class Frequencies:
+    """Inverse document frequencies: of frequent shingles from exact counts, the same for all others.
+
+    A shingle in a share f of the documents weighs 1 + ln(f) / ln(share from which on it is frequent):
+    1 if all documents have it, up to 2 for rare ones. Shares don't depend on the corpus's size, and a
+    shingle of a given share weighs the same in any.
+    """
+
+    def __init__(self, shingles: np.ndarray, shares: np.ndarray, least: float):
+        order = np.argsort(shingles)
+        self.shingles = shingles[order]
+        self.idf = (1 + np.clip(np.log(shares[order]) / np.log(least), 0, 1)).astype(np.float32)
+        self.hot = np.zeros(FEATURES, bool)
+        self.hot[features_of(self.shingles)] = True
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.full(len(shingles), 2, np.float32)
+        at = np.flatnonzero(self.hot[features_of(shingles)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.shingles, shingles[at]), len(self.shingles) - 1)
+            known = self.shingles[place] == shingles[at]
+            out[at[known]] = self.idf[place[known]]
+        return out
+
+
+def weights_of(shingles: np.ndarray, counts: np.ndarray, frequencies: Frequencies) -> np.ndarray:
+    """TF-IDF weights: 1 + ln(count), times the inverse document frequency."""
+    return ((1 + np.log(counts)) * frequencies.of(shingles)).astype(np.float32)
 
 
 def fingerprint_of(words: list[bytes]) -> str | None:
@@ -137,13 +168,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - shared)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Inverse document frequencies of FEATURES hashed shingles over all documents, and the documents.
+def _feature_counts(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents that have each of FEATURES hashed shingles, all documents, and all their distinct shingles.
 
-    Each task counts its documents into one vector, which travels compressed in slices; slices are
-    summed in two steps of bounded groups. The table's size doesn't depend on the corpus. A rare
-    feature weighs 2, one that all documents have 1: bounded, so that a group of thousands of near
-    copies, whose shared shingles are frequent, isn't pulled apart by their few own ones.
+    Each task counts into one vector, which travels compressed in slices; slices are summed in two
+    steps of bounded groups. The table's size doesn't depend on the corpus.
     """
     span = FEATURES // _SLICES
 
@@ -151,30 +180,56 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         return zlib.compress(values.astype("<i8").tobytes(), 1)
 
     def count(batches):
-        total, n = np.zeros(FEATURES, np.int64), 0
+        total, n, shingles = np.zeros(FEATURES, np.int64), 0, 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 at = features_of(shingles_of(words_of(text))[0])
                 if len(at):
                     total[at[np.append(True, at[1:] != at[:-1])]] += 1
+                    shingles += len(at)
                 n += 1
         if n:
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "n": pa.array([n] * _SLICES), "counts": pa.array([pack(x) for x in total.reshape(_SLICES, -1)])})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "n": pa.array([n] * _SLICES), "shingles": pa.array([shingles] * _SLICES), "counts": pa.array([pack(x) for x in total.reshape(_SLICES, -1)])})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(span, np.int64)
         for x in group["counts"]:
             total += np.frombuffer(zlib.decompress(x), "<i8")
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "n": [group["n"].sum()], "counts": [pack(total)]})
+        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "n": [group["n"].sum()], "shingles": [group["shingles"].sum()], "counts": [pack(total)]})
 
-    kind = "slice int, n long, counts binary"
+    kind = "slice int, n long, shingles long, counts binary"
     found = docs.select("text").mapInArrow(count, kind).withColumn("part", F.spark_partition_id() % 64)
     for keys in (["slice", "part"], ["slice"]):
         found = found.groupBy(*keys).applyInPandas(add, kind)
     rows = {r["slice"]: r for r in found.collect()}  # _SLICES rows of a fixed table
-    n = rows[0]["n"] if rows else 0
-    df = np.concatenate([np.frombuffer(zlib.decompress(rows[k]["counts"]), "<i8") for k in range(_SLICES)]) if rows else np.zeros(FEATURES)
-    return (1 + np.clip(np.log((1 + n) / (1 + df)) / np.log(2 + n), 0, 1)).astype(np.float32), n
+    if not rows:
+        return np.zeros(FEATURES, np.int64), 0, 0
+    return np.concatenate([np.frombuffer(zlib.decompress(rows[k]["counts"]), "<i8") for k in range(_SLICES)]), rows[0]["n"], rows[0]["shingles"]
+
+
+def document_frequencies(docs: DataFrame) -> Frequencies:
+    """Frequent shingles of all documents with their exact counts.
+
+    A first pass counts hashed features; only shingles of features that reach the least count can
+    be frequent, so the second pass counts few shingles, exactly. A shingle is frequent from a share of
+    FREQUENT on, or four times what an average feature has, so at most FEATURES / 4 are, whatever the corpus.
+    """
+    counts, n, total = _feature_counts(docs)
+    least = max(FREQUENT, 4 * total / max(n, 1) / FEATURES)
+    if least >= 1 or not n:
+        return Frequencies(np.empty(0, np.uint64), np.empty(0), FREQUENT)
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(counts >= least * n))
+
+    def candidates(batches):
+        hot = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            found = [s[hot[features_of(s)]] for s in (shingles_of(words_of(t))[0] for t in batch.column(0).to_pylist())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+    found = docs.select("text").mapInArrow(candidates, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    rows = found.filter(F.col("df") >= least * n).toPandas()  # at most FEATURES / 4, see above
+    return Frequencies(rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(float) / n, least)
 
 
 def _signed(docs: DataFrame, sent) -> DataFrame:
@@ -264,8 +319,16 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, sent) -> Dat
     return stored(found.select("a", "b"), "dedup-links")
 
 
-def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify among buckets' rows (key, id, component), and the rows of large buckets.
+def _with_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows joined with their bucket (key, n rows, ...); a hot bucket's rows aren't dealt out by its key."""
+    hot = stored(buckets.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "key").limit(HOT_BUCKETS), "dedup-hot")
+    keys = F.broadcast(hot.select("key"))
+    rest = rows.join(keys, "key", "left_anti").join(buckets.join(keys, "key", "left_anti"), "key")
+    return rows.join(F.broadcast(hot), "key").unionByName(rest)
+
+
+def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs to verify among buckets' rows (key, id, component), the rows of large buckets, and these buckets.
 
     A bucket whose members hang together already needs nothing. In a small one all pairs of
     different components are compared. In a large one every member is compared with two pivots, the
@@ -274,28 +337,30 @@ def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     order = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("pivot"), F.min(order)["id"].alias("other"))
-    buckets = stored(buckets.filter("low <> high"), "dedup-buckets")
-    rows = rows.join(buckets.select("key", "n", "pivot", "other"), "key")
-    small = rows.filter(F.col("n") <= SMALL).select("key", "id", "component")
+    buckets = stored(buckets.filter("low <> high").select("key", "n", "pivot", "other"), "dedup-buckets")
+    small = rows.join(buckets.filter(F.col("n") <= SMALL).select("key"), "key").select("key", "id", "component")
     mate = small.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
     pairs = small.join(mate, "key").filter("id < b and component <> component_b").select(F.col("id").alias("a"), "b")
-    large = rows.filter(F.col("n") > SMALL)
+    buckets = buckets.filter(F.col("n") > SMALL)
+    large = stored(_with_buckets(rows.select("key", "id"), buckets), "dedup-large")
     starred = large.select("id", F.explode(F.array_distinct(F.array("pivot", "other"))).alias("p")).filter("id <> p")
     pairs = pairs.unionByName(starred.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
-    return pairs.distinct(), large.select("key", "id", "pivot")
+    return pairs.distinct(), large.select("key", "id"), buckets
 
 
-def _rest(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rest(large: DataFrame, buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """After the pivots: pairs of the few that hang apart in a large bucket, and rows of those where many do."""
-    rows = _labelled(large, labels)
     heads = labels.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
-    rows = rows.join(heads, "pivot", "left").withColumn("apart", F.col("component") != F.coalesce("main", "pivot"))
+    heads = buckets.join(heads, "pivot", "left").select("key", "n", F.coalesce("main", "pivot").alias("main"))
+    rows = _with_buckets(_labelled(large, labels), heads).withColumn("apart", F.col("component") != F.col("main"))
+    rows = stored(rows.select("key", "id", "component", "apart"), "dedup-rest")
     count = rows.groupBy("key").agg(F.sum(F.col("apart").cast("long")).alias("n_apart"), F.count(F.lit(1)).alias("n")).filter("n_apart > 0")
-    rows = stored(rows.join(count, "key").select("key", "id", "component", "apart", "n_apart", "n"), "dedup-rest")
-    few = rows.filter(F.col("n_apart") <= SMALL)
-    mate = few.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    pairs = few.filter("apart").join(mate, "key").filter("component <> component_b")
-    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), rows.filter(F.col("n_apart") > SMALL).select("key", "id", "component", "n")
+    rows = stored(_with_buckets(rows, count), "dedup-apart")
+    few = rows.filter(F.col("n_apart") <= SMALL).select("key", "id", "component", "apart")
+    alone = few.filter("apart").groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("b"), F.col("component").alias("component_b"))).alias("mates"))  # SMALL at most
+    alone = stored(alone.join(count.select("key", "n"), "key"), "dedup-mates")
+    pairs = _with_buckets(few, alone).select("id", "component", F.explode("mates").alias("m")).filter("component <> m.component_b")
+    return pairs.select(F.least("id", "m.b").alias("a"), F.greatest("id", "m.b").alias("b")).distinct(), rows.filter(F.col("n_apart") > SMALL).select("key", "id", "component")
 
 
 def _joined(block: pd.DataFrame) -> pd.DataFrame:
@@ -320,10 +385,14 @@ def _joined(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def _blocks(rows: DataFrame, signed: DataFrame, docs: DataFrame, sent) -> DataFrame:
-    """Links within buckets of any size: each is cut into chunks by a hash, and each two chunks make a block."""
+    """Links within buckets of any size: each is cut into chunks by a hash, and each two chunks make a block.
+
+    There are as many chunks as rows or bytes of shingles demand, so long documents make blocks of fewer rows.
+    """
     vectors = stored(_vectors(docs.join(rows.select("id").distinct(), "id", "left_semi"), sent), "dedup-vectors")
-    chunks = F.ceil(F.col("n") / BLOCK_ROWS)
-    cut = rows.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("id", "key"), chunks)})
+    sized = stored(rows.join(vectors.select("id", (F.octet_length("shingles") + F.octet_length("weights")).alias("bytes")), "id"), "dedup-sized")
+    chunks = sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).alias("chunks"))
+    cut = _with_buckets(sized.drop("bytes"), chunks).withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     cut = cut.select("key", "id", "component", "chunk", every.alias("mate"))
     pair = {"x": F.least("chunk", "mate"), "y": F.greatest("chunk", "mate"), "side": (F.col("chunk") > F.col("mate")).cast("int")}
@@ -338,7 +407,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, class_id): the class of every document; class_id is its smallest id.
+    """Rows (id, class_id): the class of every row; class_id is its smallest id.
 
     Texts with the same words are copies and count once from then on. Every representative gets
     samples of its weighted shingles; equal bands make buckets, from which pairs are drawn and
@@ -351,14 +420,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     connected yet, by samples first. So within a bucket no link is lost that connects classes.
 
     Null, empty and wordless texts have no shingles: each is a class of its own. Null ids: class
-    null, never a representative. Rows that repeat an id are one document here, for which the greatest
-    text stands; near_duplicate_rows judges each text. Empty table: no rows.
+    null, never a representative. Rows that repeat an id are judged each by its own text. Empty table: no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    source = rows.filter("id is not null")
-    if _repeats(source):
-        source = stored(source.groupBy("id").agg(F.max("text").alias("text")), "dedup-documents")
-    return rows.select("id").join(_classes(source), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    found = near_duplicate_rows(docs, id_col, text_col)
+    return found.select(F.col(id_col).cast("long").alias("id"), F.col(f"`{found.columns[-2]}`").alias("class_id"))
 
 
 def _repeats(source: DataFrame) -> bool:
@@ -370,8 +435,7 @@ def _classes(source: DataFrame) -> DataFrame:
     """Rows (id, class_id) of all texts with words; ids of source are there once each."""
     spark = source.sparkSession
     bounded_batches(spark)
-    idf, _ = document_frequencies(source)
-    sent = spark.sparkContext.broadcast(idf)
+    sent = spark.sparkContext.broadcast(document_frequencies(source))
     every = stored(_signed(source, sent), "dedup-samples")
     copies = every.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.min("samples").alias("samples"))
     signed = stored(copies.select("fp", F.col("rep").alias("id"), "samples"), "dedup-classes")
@@ -380,12 +444,11 @@ def _classes(source: DataFrame) -> DataFrame:
     rows = signed.select("id", F.explode(F.array(*[_key("samples", band) for band in range(BANDS)])).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     rows = stored(rows.join(shared, "key"), "dedup-rows")
-    pairs, large = _pairs(_labelled(rows, alone))
-    large = stored(large, "dedup-large")
+    pairs, large, buckets = _pairs(_labelled(rows, alone))
     links = _verified(pairs, signed, texts, sent)
     labels = connected_components(links)
     if not large.isEmpty():
-        pairs, many = _rest(large, labels)
+        pairs, many = _rest(large, buckets, labels)
         links = links.unionByName(_verified(pairs, signed, texts, sent))
         labels = connected_components(links)
         if not many.isEmpty():
@@ -399,8 +462,9 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """All columns of docs, ``class_id`` and ``kept`` (renamed if taken), each row judged by its own text.
 
     Classes are those of near_duplicate_classes over each distinct id and text: class_id is the
-    smallest id of a class, and its representative is one text of that id, chosen by its digest. kept holds for rows of the representative, so the same id and text are kept or not
-    together, and for all rows of null id, whose class is null.
+    smallest id of a class, and its representative is one text of that id, chosen by its digest. kept
+    holds for rows of the representative, so the same id and text are kept or not together, and for
+    all rows of null id, whose class is null.
     """
     own, digest, at, to = fresh(docs, "own_id", "text_digest", "class_id", "kept")
     rows = docs.withColumn(own, F.col(id_col).cast("long"))

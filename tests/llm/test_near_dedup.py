@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,15 +21,17 @@ def _edited(text, seed, share):
     return " ".join(prose(seed * 1000 + i, 1) if dice.random() < share else w for i, w in enumerate(text.split()))
 
 
-def _brute(texts: dict[int, str]) -> dict[int, int]:
-    """Class of each document by weighted Jaccard similarity of all pairs that share a shingle."""
-    shingles = {i: N.shingles_of(words_of(t)) for i, t in texts.items()}
-    df = np.zeros(N.FEATURES)
-    for s, _ in shingles.values():
-        df[np.unique(N.features_of(s))] += 1
-    n = len(texts)
-    idf = (1 + np.clip(np.log((1 + n) / (1 + df)) / np.log(2 + n), 0, 1)).astype(np.float32)
-    vectors = {i: (s, N.weights_of(s, c, idf)) for i, (s, c) in shingles.items() if len(s)}
+def _brute(texts: dict[int, str], least=None) -> dict[int, int]:
+    """Class of each document by weighted Jaccard similarity of all pairs; strings, counters and floats only."""
+    counts = {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        size = min(5, len(words))
+        counts[i] = Counter(tuple(words[k : k + size]) for k in range(len(words) - size + 1)) if words else Counter()
+    df, n = Counter(x for c in counts.values() for x in c), len(texts)
+    least = max(N.FREQUENT, 4 * sum(map(len, counts.values())) / n / N.FEATURES)
+    vectors = {i: {x: (1 + math.log(k)) * (1 + math.log(df[x] / n) / math.log(least) if df[x] >= least * n else 2) for x, k in c.items()} for i, c in counts.items() if c}
+    total = {i: sum(v.values()) for i, v in vectors.items()}
     root = {i: i for i in texts}
 
     def top(x):
@@ -37,7 +42,8 @@ def _brute(texts: dict[int, str]) -> dict[int, int]:
     ids = sorted(vectors)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if len(vectors[a][0]) <= 1.4 * len(vectors[b][0]) and len(vectors[b][0]) <= 1.4 * len(vectors[a][0]) and N.similarity(vectors[a], vectors[b]) >= N.SIMILARITY:
+            shared = sum(min(w, vectors[b][x]) for x, w in vectors[a].items() if x in vectors[b])
+            if shared / (total[a] + total[b] - shared) >= N.SIMILARITY:
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     return {i: top(i) for i in texts}
@@ -56,10 +62,10 @@ def groups():
     return {i: texts[k] for i, k in enumerate(order)}
 
 
-@pytest.mark.parametrize("small, block", [(N.SMALL, N.BLOCK_ROWS), (2, 16), (4, 1000)])
-def test_against_brute_force(spark, groups, monkeypatch, small, block):
-    monkeypatch.setattr(N, "SMALL", small)
-    monkeypatch.setattr(N, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("small, block, size, hot", [(N.SMALL, N.BLOCK_ROWS, N.BLOCK_BYTES, 2), (2, 16, 1 << 14, 1 << 16), (4, 1000, 1 << 30, 1 << 16)])
+def test_against_brute_force(spark, groups, monkeypatch, small, block, size, hot):
+    for name, value in (("SMALL", small), ("BLOCK_ROWS", block), ("BLOCK_BYTES", size), ("HOT_BUCKETS", hot), ("HOT_ROWS", 8)):
+        monkeypatch.setattr(N, name, value)
     docs = spark.createDataFrame(list(groups.items()), "doc_id bigint, text string")
     got = {r.id: r.class_id for r in N.near_duplicate_classes(docs).collect()}
     assert got == _brute(groups)
@@ -73,12 +79,6 @@ def test_odd_documents(odd_docs, no_docs):
     assert N.near_duplicate_classes(no_docs).count() == 0
 
 
-def test_an_id_with_several_texts_is_one_document(spark):
-    a, b = prose(1, 50), prose(2, 50)
-    docs = spark.createDataFrame([(1, a), (1, b), (2, min(a, b)), (3, max(a, b)), (None, a)], "doc_id bigint, text string")
-    assert sorted(((r.id, r.class_id) for r in N.near_duplicate_classes(docs).collect()), key=str) == [(1, 1), (1, 1), (2, 2), (3, 1), (None, None)]
-
-
 def test_each_text_of_an_id_is_judged(spark):
     a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
     rows = [(3, c), (5, "aaa " + a), (5, c), (6, b), (6, b), (7, None), (7, b), (8, a), (9, a), (9, None), (None, c)]
@@ -92,9 +92,20 @@ def test_each_text_of_an_id_is_judged(spark):
     )
 
 
+def test_frequencies_are_exact(spark, groups):
+    docs = spark.createDataFrame(list(groups.items()), "id bigint, text string").repartition(3)
+    got = N.document_frequencies(docs)
+    counts = Counter(x for t in groups.values() for x in N.shingles_of(words_of(t))[0].tolist())
+    least = max(N.FREQUENT, 4 * sum(counts.values()) / len(groups) / N.FEATURES)
+    want = {x: 1 + math.log(k / len(groups)) / math.log(least) for x, k in counts.items() if k >= least * len(groups)}
+    assert set(got.shingles.tolist()) == set(want)
+    assert np.allclose(got.of(np.array(sorted(want), np.uint64)), [want[x] for x in sorted(want)])
+    assert got.of(np.array([1, 2], np.uint64)).tolist() == [2, 2]
+
+
 def test_samples_estimate_the_similarity():
     a, b = N.shingles_of(words_of(prose(1, 400))), N.shingles_of(words_of(_edited(prose(1, 400), 5, 0.02)))
-    idf = np.ones(N.FEATURES, np.float32)
+    idf = N.Frequencies(np.empty(0, np.uint64), np.empty(0), 0.001)
     vectors = [(s, N.weights_of(s, c, idf)) for s, c in (a, b)]
     x = N.samples_of([v[0] for v in vectors], [v[1] for v in vectors])
     assert abs((x[0] == x[1]).mean() - N.similarity(*vectors)) < 0.2

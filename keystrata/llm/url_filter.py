@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import bounded_batches, fresh, stored
+from keystrata.llm.shared import bounded_batches, fresh, scratch, stored
 
 #: Rules as (host and path, verdict). A rule fits its host and subdomains where the path starts with its own.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -18,8 +18,10 @@ LISTED_NAMES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills"
 LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
 #: Bits for a key and hash functions at the first level and at the later ones.
 FIRST, LATER = (10, 7), (3, 2)
-#: Bits that may be sent to the executors; a larger set of keys is joined instead.
-CASCADE_BITS = 1 << 30
+#: Bits of a cascade's level; sets of keys that need more are dealt by a hash into several cascades, one pass each.
+CASCADE_BITS = 1 << 26
+#: Sets of keys that one cascade tells apart: rules that block, rules that allow, listed hosts.
+TAGS = ("block", "allow", "listed")
 
 
 def _seeds(level: int, hashes: int) -> list[int]:
@@ -68,32 +70,27 @@ def _passes(sent, level: int):
     return passes
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, int, bytes]] | None:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> list[tuple[int, int, bytes]]:
     """Levels that together tell the listed keys from all other keys of the universe, exactly.
 
     The first level encodes the listed keys; each further one encodes what the one before lets
     through wrongly, alternately unlisted and listed keys, until nothing is left. Both inputs have
-    a column ``key``; duplicates and nulls don't matter. No listed keys: no levels. More keys than
-    CASCADE_BITS can hold: None; the caller joins instead.
+    a column ``key``; duplicates and nulls don't matter. No listed keys: no levels.
     """
     spark = universe.sparkSession
-    listed = stored(listed.select("key").filter("key is not null").distinct(), "cascade-listed")
-    n = listed.count()
-    if n * FIRST[0] > CASCADE_BITS:
-        return None
-    inside, outside = listed, None
-    levels: list[tuple[int, int, bytes]] = []
-    while n:
-        levels.append(_level(inside, n, len(levels)))
-        passes = _passes(spark.sparkContext.broadcast(levels[-1]), len(levels) - 1)
-        if outside is None:
-            outside = universe.select("key").filter("key is not null").distinct().join(listed, "key", "left_anti")
-        wrong = stored(outside.filter(passes("key")), f"cascade-level-{len(levels)}")
-        n = wrong.count()
-        if n * LATER[0] > CASCADE_BITS:
-            return None
-        inside, outside = wrong, inside
-    return levels
+    with scratch(spark):
+        listed = stored(listed.select("key").filter("key is not null").distinct(), "cascade-listed")
+        n, inside, outside = listed.count(), listed, None
+        levels: list[tuple[int, int, bytes]] = []
+        while n:
+            levels.append(_level(inside, n, len(levels)))
+            passes = _passes(spark.sparkContext.broadcast(levels[-1]), len(levels) - 1)
+            if outside is None:
+                outside = universe.select("key").filter("key is not null").distinct().join(listed, "key", "left_anti")
+            wrong = stored(outside.filter(passes("key")), f"cascade-level-{len(levels)}")
+            n = wrong.count()
+            inside, outside = wrong, inside
+        return levels
 
 
 def with_site(pages: DataFrame, url_col: str, host: str, path: str) -> DataFrame:
@@ -123,45 +120,57 @@ def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[
 def _shape(rules: DataFrame) -> tuple[list[int], list[int]]:
     """Numbers of host labels and lengths of paths that occur in the rules."""
     host, path = F.regexp_extract("key", "^[^/]*", 0), F.regexp_extract("key", "^[^/]*(.*)$", 1)
+    rules = rules.filter("key is not null")
     got = rules.agg(F.sort_array(F.collect_set(F.size(F.split(host, "\\.")))), F.sort_array(F.collect_set(F.length(path)))).first()
     return list(got[0]), list(got[1])
 
 
-def first_listed(pages: DataFrame, listed: DataFrame, host: str, path: str, into: str) -> DataFrame:
-    """Add the longest listed key that fits each page's host and path, or null.
+def _part(key: str, parts: int) -> int:
+    """The part that a key belongs to: Spark's pmod(xxhash64(key), parts)."""
+    import xxhash
 
-    The universe is every candidate key of the pages; a cascade over it answers without a join.
-    Only above CASCADE_BITS are the distinct sites joined with the keys.
-    """
-    labels, lengths = _shape(listed)
-    if not labels:
-        return pages.withColumn(into, F.lit(None).cast("string"))
-    keys = candidate_keys(F.col(host), F.col(path), labels, lengths)
-    levels = build_cascade(listed, pages.select(F.explode(keys).alias("key")))
-    if levels is None:
-        near = F.substring(path, 1, max(lengths))
-        sites = pages.groupBy(F.col(host).alias("_h"), near.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-        found = sites.select("_h", "_p", F.explode(candidate_keys(F.col("_h"), F.col("_p"), labels, lengths)).alias("key"))
-        found = found.join(listed.select("key").distinct(), "key").groupBy("_h", "_p").agg(F.max_by("key", F.length("key")).alias(into))
-        return pages.join(found, (F.col(host) == F.col("_h")) & (near == F.col("_p")), "left").drop("_h", "_p")
-    sent = pages.sparkSession.sparkContext.broadcast(levels)
-
-    @F.arrow_udf("string")
-    def longest(candidates: pa.Array) -> pa.Array:
+    h = xxhash.xxh64_intdigest(key.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % parts
+
+
+def _found(sent, part: int, parts: int):
+    """Of each array of keys those that a part's cascade lists."""
+
+    @F.arrow_udf("array<string>")
+    def find(some: pa.Array) -> pa.Array:
         known: dict[str, bool] = {}
-        out = []
-        for some in candidates.to_pylist():
-            for key in some:
+        found = []
+        for keys in some.to_pylist():
+            for key in keys:
                 if key not in known:
-                    known[key] = is_listed(sent.value, key)
-                if known[key]:
-                    out.append(key)
-                    break
-            else:
-                out.append(None)
-        return pa.array(out, pa.string())
+                    known[key] = _part(key, parts) == part and is_listed(sent.value, key)
+            found.append([key for key in keys if known[key]])
+        return pa.array(found, pa.list_(pa.string()))
 
-    return pages.withColumn(into, longest(keys))
+    return find
+
+
+def with_listed(pages: DataFrame, candidates: Column, listed: DataFrame, into: str) -> DataFrame:
+    """Add the array of those candidate keys that are listed (column key), in the order of the candidates.
+
+    The universe is every candidate key of the pages, found once; a cascade over it answers without
+    a join. Where keys, or the wrong answers of the first level to expect, need more than
+    CASCADE_BITS, keys are dealt by a hash into several cascades; each is a pass over the pages,
+    written in between, so driver and tasks hold one at a time.
+    """
+    spark = pages.sparkSession
+    with scratch(spark):
+        universe = stored(pages.select(F.explode(candidates).alias("key")).distinct(), "url-universe")
+        n, of_all = listed.distinct().count(), universe.count()
+        parts = max(1, -(-n * FIRST[0] // CASCADE_BITS), -(-of_all * LATER[0] // (100 * CASCADE_BITS)))
+        out = pages.withColumn(into, F.array().cast("array<string>"))
+        for part in range(parts):
+            mine = F.pmod(F.xxhash64("key"), F.lit(parts)) == part
+            sent = spark.sparkContext.broadcast(build_cascade(listed.filter(mine), universe.filter(mine)))
+            out = out.withColumn(into, F.concat(into, _found(sent, part, parts)(candidates)))
+            if parts > 1:
+                out = stored(out, "url-pass", keep=part + 1 == parts)
+    return out
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, listed_hosts: DataFrame, url_col: str = "url") -> DataFrame:
@@ -169,21 +178,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed_hosts: DataFrame, url_
 
     rules: columns key (host, then path) and verdict (block or allow); a key listed as both is
     blocked. listed_hosts: column key; these hosts and their subdomains are blocked where no rule
-    fits. Each of the three sets of keys is a cascade over the pages' complete key universe.
+    fits. The three sets are told apart by a tag before each key and share one cascade over the
+    pages' complete key universe.
 
     Null url or one without "://": host and path empty, no rule, allowed. Repeated rows: each
     judged alone. Empty table or rules: no rows, or no rule.
     """
     bounded_batches(pages.sparkSession)
-    host, path, blocked, allowed, listed, rule, verdict = fresh(pages, "host", "path", "blocked", "allowed", "listed", "rule", "verdict")
+    host, path, found, rule, verdict = fresh(pages, "host", "path", "found_keys", "rule", "verdict")
+    sets = [rules.filter("verdict = 'block'"), rules.filter("verdict = 'allow'"), listed_hosts]
+    tagged = lambda tag: lambda key: F.concat(F.lit(f"{tag}|"), key)
+    listed, candidates = None, []
+    for tag, keys in zip(TAGS, sets, strict=True):
+        own = keys.filter("key is not null").select(tagged(tag)(F.col("key")).alias("key"))
+        listed = own if listed is None else listed.unionByName(own)
+        labels, lengths = _shape(keys)
+        if labels:
+            candidates.append(F.transform(candidate_keys(F.col(host), F.col(path), labels, lengths), tagged(tag)))
     out = with_site(pages, url_col, host, path)
-    out = first_listed(out, rules.filter("verdict = 'block'"), host, path, blocked)
-    out = first_listed(out, rules.filter("verdict = 'allow'"), host, path, allowed)
-    out = first_listed(out, listed_hosts, host, path, listed)
+    out = with_listed(out, F.concat(*candidates) if candidates else F.array().cast("array<string>"), listed, found)
+    longest = lambda tag: F.substring(F.try_element_at(F.array_sort(F.filter(found, lambda k: F.startswith(k, F.lit(f"{tag}|"))), lambda a, b: F.length(b) - F.length(a)), F.lit(1)), len(tag) + 2, 1 << 30)
+    blocked, allowed, by_host = map(longest, TAGS)
     block_wins = F.coalesce(F.length(blocked), F.lit(-1)) >= F.coalesce(F.length(allowed), F.lit(-1))
-    out = out.withColumn(rule, F.when(block_wins, F.col(blocked)).otherwise(F.col(allowed)))
-    by_rule = F.when(F.col(rule).isNull(), F.when(F.col(listed).isNull(), "allow").otherwise("block"))
-    return out.withColumn(verdict, by_rule.when(block_wins, "block").otherwise("allow")).drop(blocked, allowed, listed)
+    fits = F.when(block_wins, blocked).otherwise(allowed)
+    by_rule = F.when(fits.isNull(), F.when(by_host.isNull(), "allow").otherwise("block")).when(block_wins, "block").otherwise("allow")
+    return out.withColumns({rule: fits, verdict: by_rule}).drop(found)
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def _spark_rules(spark):
 
 def test_against_direct_reading(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate([*URLS, *URLS[:3]])], "page_id bigint, url string, Rule string, host string")
-    for bits in (U.CASCADE_BITS, 1):  # the second goes by joins
+    for bits in (U.CASCADE_BITS, 100):  # the second takes several cascades
         monkeypatch.setattr(U, "CASCADE_BITS", bits)
         got = U.judge_urls(pages, *_spark_rules(spark)).select("url", "host_", "path", "rule_", "verdict").collect()
         assert len(got) == len(URLS) + 3

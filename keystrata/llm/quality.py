@@ -20,8 +20,6 @@ STEM_CHARS = range(4, 9)
 #: ... in so many toxic (or bad) documents at least, with so large a log odds ratio. They must also be
 #: unlikely by chance: a likelihood ratio of e^8 against the base rate.
 MARKER_DOCS, MARKER_LOG_ODDS, MARKER_LOG_RATIO = 3, 2.0, 8.0
-#: Words whose marker a worker keeps at once.
-_KNOWN_WORDS = 1 << 18
 #: Strength of the ridge penalty on standardised weights.
 RIDGE = 1.0
 #: Documents are accepted from this posterior on.
@@ -43,24 +41,20 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(letters[:k].encode() + b"*" for k in STEM_CHARS if k <= len(letters))]
 
 
-class Markers(dict):
-    """Log odds by marker; for words, which are looked up once and kept, that of their strongest marker or 0."""
+class Markers:
+    """Log odds by marker. Words whose first bytes no marker has are passed over without building their terms."""
 
     def __init__(self, terms: dict[bytes, float]):
-        super().__init__()
         self.terms = terms
+        self.heads = {t[:4] for t in terms}
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        self[word] = found = max(self.terms.get(t, 0.0) for t in terms_of(word))
-        return found
+    def of(self, words) -> float:
+        """Sum over distinct words of the log odds of their strongest marker, or 0."""
+        heads, get = self.heads, self.terms.get
+        return sum(max(get(t, 0.0) for t in terms_of(w)) for w in words if w[:4] in heads)
 
-    def __reduce__(self):
-        return Markers, (self.terms,)
 
-
-def features_of(text: str | None, markers: dict[bytes, float]) -> list[float]:
+def features_of(text: str | None, markers: Markers) -> list[float]:
     """Of a whole text: shares of kinds of characters and words, repetition, and markers."""
     raw = (text or "").encode()
     words = words_of(text)
@@ -69,7 +63,7 @@ def features_of(text: str | None, markers: dict[bytes, float]) -> list[float]:
     upper = int(bytes_[_UPPER].sum())
     counts = Counter(words)
     lines = [line for line in (text or "").split("\n") if line.strip()]
-    found = sum(map(markers.__getitem__, counts)) if isinstance(markers, Markers) else sum(markers[w] for w in counts.keys() & markers.keys())
+    found = markers.of(counts)
     return [
         float(np.log1p(len(words))),
         upper / max(upper + int(bytes_[_LOWER].sum()), 1),
@@ -142,7 +136,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return {"markers": markers, "mean": mean, "scale": scale, "weights": _logistic((x - mean) / scale, y)}
 
 
-def _evidence_udf(markers: dict, model: dict | None):
+def _evidence_udf(markers: Markers, model: dict | None):
     """Features of a text, or with a model the log odds of its being good."""
 
     @F.arrow_udf("array<double>" if model is None else "double")
@@ -184,7 +178,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     the global prior in the document's odds by that of its path, and accepted means a score of ACCEPT
     or more.
 
-    Grouped sums are combined before the shuffle, so a hot site costs one row per task. Sites are
+    Texts are read by the classifier once: rows are written with their evidence, from which sites are
+    summed. Grouped sums are combined before the shuffle, so a hot site costs one row per task. Sites are
     joined back by key: Spark broadcasts them only if their measured size is small, else it sorts
     and splits skewed sides.
 
@@ -196,7 +191,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     evidence, prior, score, accepted, host, path = fresh(docs, "evidence", "site_prior", "quality_score", "accepted", "site_host", "site_path")
     if model is None:
         return docs.withColumns({evidence: F.lit(0.0), prior: F.lit(0.5), score: F.lit(0.5), accepted: F.lit(True)})
-    judged = docs.withColumn(evidence, _evidence_udf(model["markers"], model)(F.col(text_col)))
+    judged = stored(docs.withColumn(evidence, _evidence_udf(model["markers"], model)(F.col(text_col))), "quality-evidence")
     chance = 1 / (1 + F.exp(-F.col(evidence)))
     paths = stored(judged.groupBy(F.col(host_col).alias(host), F.col(path_col).alias(path)).agg(F.sum(chance).alias("good"), F.count(F.lit(1)).alias("n")), "quality-paths")
     got = paths.agg(F.sum("good") / F.sum("n")).first()[0]

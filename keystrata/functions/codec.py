@@ -78,3 +78,76 @@ def encode_bytes_desc(binary: Column) -> Column:
 
 def decode_bytes_desc(binary: Column) -> Column:
     return decode_bytes(_inverted(binary))
+
+
+def encode_float64(value: Column) -> Column:
+    """Eight bytes that sort as doubles do: all bits flipped below zero, else the sign bit."""
+    bits = F.conv(F.hex(_double_bytes(value)), 16, -10).cast("bigint")
+    flipped = F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(f"-{1 << 63}").cast("bigint")))
+    return F.unhex(_hex16(flipped))
+
+
+def _double_bytes(value: Column) -> Column:
+    """IEEE 754 bytes of a double, big-endian, by its exponent and fraction; zeros have no sign here, NaN sorts last."""
+    x, size = value.cast("double"), F.abs(value.cast("double"))
+    two = lambda n: F.pow(F.lit(2.0), n)
+    guess = F.greatest(F.floor(F.log2(size)).cast("int"), F.lit(-1022))
+    # A logarithm may be off by one next to a power of two.
+    exponent = F.when(two(guess) > size, guess - 1).when((guess < 1023) & (two(guess + 1) <= size), guess + 1).otherwise(guess)
+    exponent = F.greatest(exponent, F.lit(-1022))
+    small = size < F.lit(2.2250738585072014e-308)
+    scaled = F.when(exponent < -500, size * two(F.lit(600.0))).otherwise(size) / two(F.when(exponent < -500, exponent + 600).otherwise(exponent).cast("double"))
+    fraction = F.when(small, (size * two(F.lit(600.0)) * two(F.lit(474.0))).cast("bigint")).otherwise(((scaled - 1) * two(F.lit(52.0))).cast("bigint"))
+    biased = F.when(small, F.lit(0)).otherwise(exponent + 1023).cast("bigint")
+    bits = F.shiftleft(biased, 52).bitwiseOR(fraction)
+    whole = F.when(size == 0, F.lit(0).cast("bigint")).when(F.isnan(x), F.lit(0x7FF8 << 48).cast("bigint")).when(size == float("inf"), F.lit(0x7FF << 52).cast("bigint")).otherwise(bits)
+    signed = F.when((x < 0) & ~F.isnan(x), whole.bitwiseOR(F.lit(f"-{1 << 63}").cast("bigint"))).otherwise(whole)
+    return F.unhex(_hex16(signed))
+
+
+def decode_float64(binary: Column) -> Column:
+    """Inverse of encode_float64; null unless there are eight bytes."""
+    number = decode_int64(binary)  # the sign bit is flipped back
+    bits = F.when(number >= 0, number).otherwise(F.bitwise_not(number.bitwiseXOR(F.lit(f"-{1 << 63}").cast("bigint"))))
+    low = bits.bitwiseAND(F.lit((1 << 63) - 1))
+    biased, fraction = F.shiftrightunsigned(low, 52).cast("int"), low.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    two = lambda n: F.pow(F.lit(2.0), n.cast("double"))
+    half = (biased - 1023) / 2  # in two steps, since one power of two may lie below all normal numbers
+    first = F.floor(half)
+    size = F.when(biased == 0, fraction * two(F.lit(-1022))).otherwise((1 + fraction) * two(first) * two(biased - 1023 - first))
+    whole = F.when(biased < 2047, size).when(fraction > 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return F.when(F.octet_length(binary) == 8, F.when(bits < 0, -whole).otherwise(whole))
+
+
+def encode_uvarint(value: Column) -> Column:
+    """Seven bits a byte from the lowest on, each byte but the last with its high bit set, of a bigint read as unsigned."""
+    part = lambda i: F.shiftrightunsigned(value.cast("bigint"), 7 * i)
+    groups = [F.when(F.lit(i == 0) | (part(i) != 0), F.lpad(F.hex(part(i).bitwiseAND(F.lit(127)) + F.when(part(i + 1) != 0, 128).otherwise(0) if i < 9 else part(i).bitwiseAND(F.lit(1))), 2, "0")).otherwise("") for i in range(10)]
+    return F.unhex(F.concat(*groups))
+
+
+def decode_uvarint(binary: Column) -> Column:
+    """Inverse of encode_uvarint; null unless the bytes are one whole number of 64 bits."""
+    size = F.octet_length(binary)
+    byte = lambda i: F.conv(F.hex(F.substring(binary, i + 1, 1)), 16, 10).cast("bigint")
+    total = F.lit(0).cast("bigint")
+    ends = F.lit(False)
+    for i in range(10):
+        total = total.bitwiseOR(F.when(size > i, F.shiftleft(byte(i).bitwiseAND(F.lit(127)), 7 * i)).otherwise(0))
+        ends = ends | ((size == i + 1) & (byte(i) < (2 if i == 9 else 128)))
+    more = F.lit(True)
+    for i in range(9):
+        more = more & ((size <= i + 1) | (byte(i) >= 128))
+    return F.when(ends & more, total)
+
+
+def encode_varint(value: Column) -> Column:
+    """Zigzag, so that small numbers of either sign are short, then as encode_uvarint."""
+    number = value.cast("bigint")
+    return encode_uvarint(F.shiftleft(number, 1).bitwiseXOR(F.shiftright(number, 63)))
+
+
+def decode_varint(binary: Column) -> Column:
+    """Inverse of encode_varint."""
+    coded = decode_uvarint(binary)
+    return F.shiftrightunsigned(coded, 1).bitwiseXOR(-coded.bitwiseAND(F.lit(1).cast("bigint")))

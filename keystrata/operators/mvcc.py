@@ -61,19 +61,24 @@ def scan(writes: DataFrame, start: Bound = None, end: Bound = None, read_ts: int
     return rows.orderBy(F.desc("user_key") if descending else F.asc("user_key"))
 
 
-def blocking(read_ts: int | None, bypass: Sequence[int] = ()) -> Column:
-    """Whether a lock blocks a read: not pessimistic, not newer than the read, not bypassed."""
+def blocking(read_ts: int | None) -> Column:
+    """Whether a lock blocks a read: not pessimistic and not newer than the read."""
     found = F.col("lock_type") != "S"
-    found &= F.col("start_ts") <= read_ts if read_ts is not None else F.lit(True)
-    return found & ~F.col("start_ts").isin(*bypass) if bypass else found
+    return found & (F.col("start_ts") <= read_ts) if read_ts is not None else found
 
 
-def lock_conflicts(locks: DataFrame, read_ts: int | None, bypass: Sequence[int] = (), start: Bound = None, end: Bound = None) -> DataFrame:
-    """Locks that a read under snapshot isolation meets; read-committed reads skip this."""
-    return locks.filter(in_range(F.col("user_key"), start, end) & blocking(read_ts, bypass))
+def lock_conflicts(locks: DataFrame, read_ts: int | None, bypass: DataFrame | Sequence[int] = (), start: Bound = None, end: Bound = None) -> DataFrame:
+    """Locks that a read under snapshot isolation meets; read-committed reads skip this.
+
+    bypass: start timestamps of transactions whose locks are ignored, as a list or a table (start_ts).
+    """
+    met = locks.filter(in_range(F.col("user_key"), start, end) & blocking(read_ts))
+    if isinstance(bypass, DataFrame):
+        return met.join(bypass.select("start_ts"), "start_ts", "left_anti")
+    return met.filter(~F.col("start_ts").isin(*bypass)) if bypass else met
 
 
-def read_with_locks(writes: DataFrame, locks: DataFrame, read_ts: int | None, bypass: Sequence[int] = ()) -> DataFrame:
+def read_with_locks(writes: DataFrame, locks: DataFrame, read_ts: int | None, bypass: DataFrame | Sequence[int] = ()) -> DataFrame:
     """Visible or blocked keys with status "ok" or "locked"; a blocked key has no value."""
     held = lock_conflicts(locks, read_ts, bypass).select("user_key", F.col("start_ts").alias("lock_ts"))
     rows = snapshot(writes, read_ts).join(held, "user_key", "full")
@@ -95,10 +100,23 @@ def scan_locks(locks: DataFrame, max_ts: int, limit: int, start: Bound = None, e
     return locks.filter(in_range(F.col("user_key"), start, end) & (F.col("start_ts") <= max_ts)).orderBy("user_key").limit(limit)
 
 
-def locks_of(locks: DataFrame, start_ts: int) -> DataFrame:
+def locks_of(locks: DataFrame, start_ts: DataFrame | int) -> DataFrame:
+    """Locks of one transaction, or of all in a table (start_ts)."""
+    if isinstance(start_ts, DataFrame):
+        return locks.join(start_ts.select("start_ts"), "start_ts", "left_semi")
     return locks.filter(F.col("start_ts") == start_ts)
 
 
+def seek(writes: DataFrame, key: str | bytes, backward: bool = False) -> DataFrame:
+    """Records of the first stored key at or after a key, or with backward of the last at or before it.
+
+    The key is found by one aggregate, which every task computes over its rows first.
+    """
+    side = F.col("user_key") <= F.lit(key) if backward else F.col("user_key") >= F.lit(key)
+    found = writes.filter(side).agg((F.max if backward else F.min)("user_key").alias("user_key"))
+    return writes.join(F.broadcast(found), "user_key", "left_semi")
+
+
 def scan_statistics(writes: DataFrame, locks: DataFrame, read_ts: int | None = None) -> DataFrame:
     """One row: records scanned, keys returned, locks met."""
     scanned = writes.agg(F.count(F.lit(1)).alias("scanned"))

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.checksum import crc64
 from keystrata.operators.pipeline import Bound, in_range
-
-#: Ranges of one request; its list travels with the plan.
-MAX_RANGES = 1000
-
+from keystrata.operators.regions import lookup, regions_from
 
 def is_live(now: int) -> Column:
     """Not expired at `now`, in seconds."""
@@ -33,16 +29,39 @@ def batch_get(table: DataFrame, keys: DataFrame, now: int) -> DataFrame:
     return keys.select("key").join(live(table, now), "key")
 
 
-def batch_put(table: DataFrame, batch: DataFrame, now: int) -> DataFrame:
-    """The table after writing a batch (key, value, ttl, seq); the last row of a key wins. ttl 0 or null: for ever."""
+def put_changes(batch: DataFrame, now: int) -> DataFrame:
+    """Change set (op, key, value, expire_ts) of a batch (key, value, ttl, seq): the last row of a key wins. ttl 0 or null: for ever."""
     last_first = Window.partitionBy("key").orderBy(F.desc("seq"))
     last = batch.withColumn("_rank", F.row_number().over(last_first)).filter("_rank = 1")
-    new = last.select("key", "value", F.when(F.col("ttl") > 0, F.lit(now) + F.col("ttl")).cast("bigint").alias("expire_ts"))
-    return table.select("key", "value", "expire_ts").join(new.select("key"), "key", "left_anti").unionByName(new)
+    return last.select(F.lit("put").alias("op"), "key", "value", F.when(F.col("ttl") > 0, F.lit(now) + F.col("ttl")).cast("bigint").alias("expire_ts"))
+
+
+def delete_changes(keys: DataFrame) -> DataFrame:
+    """Change set that deletes keys; a key asked for twice goes once."""
+    return keys.select(F.lit("delete").alias("op"), "key", F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("expire_ts")).distinct()
+
+
+def apply_changes(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """The table after a change set, which has each key once."""
+    kept = table.select("key", "value", "expire_ts").join(changes.select("key"), "key", "left_anti")
+    return kept.unionByName(changes.filter("op = 'put'").select("key", "value", "expire_ts"))
+
+
+def batch_put(table: DataFrame, batch: DataFrame, now: int) -> DataFrame:
+    """The table after writing a batch (key, value, ttl, seq)."""
+    return apply_changes(table, put_changes(batch, now))
 
 
 def batch_delete(table: DataFrame, keys: DataFrame) -> DataFrame:
-    return table.join(keys.select("key"), "key", "left_anti")
+    return apply_changes(table, delete_changes(keys))
+
+
+def in_family(families: dict[str, DataFrame], family: str | None = None) -> DataFrame:
+    """The table of a column family; none means the default one, unknown names are refused."""
+    name = family or "default"
+    if name not in families:
+        raise ValueError(f"no column family {name}")
+    return families[name]
 
 
 def delete_range(table: DataFrame, start: Bound, end: Bound) -> DataFrame:
@@ -57,16 +76,28 @@ def scan(table: DataFrame, now: int, start: Bound = None, end: Bound = None, lim
     return rows.limit(limit) if limit else rows
 
 
-def batch_scan(table: DataFrame, ranges: Sequence[tuple[Bound, Bound]], each_limit: int, now: int) -> DataFrame:
+def batch_scan(table: DataFrame, ranges: DataFrame | Sequence[tuple[Bound, Bound]], each_limit: int, now: int) -> DataFrame:
     """The first each_limit live pairs of every range, with the range's number.
 
-    Every range is a limit of its own over a pruned scan, so no range gathers in one task more
-    than its limit.
+    ranges: a table (range_id, start, end), null for open ends, or a list of (start, end). All their bounds
+    cut the keys into segments; each row finds its segment once and then meets the ranges that cover
+    it. Of each range, every task keeps each_limit rows before the shuffle, however many lie in it.
     """
-    if len(ranges) > MAX_RANGES:
-        raise ValueError(f"at most {MAX_RANGES} ranges in one request")
-    parts = [scan(table, now, *r, limit=each_limit).select(F.lit(i).alias("range_id"), "key", "value") for i, r in enumerate(ranges)]
-    return reduce(DataFrame.unionAll, parts)
+    if not isinstance(ranges, DataFrame):
+        rows = [(i, *bounds) for i, bounds in enumerate(ranges)]
+        ranges = table.sparkSession.createDataFrame(rows, "range_id int, start string, end string")
+    bounds = ranges.select(F.explode(F.array("start", "end")).alias("key")).filter("key > ''").distinct()
+    segments = regions_from(bounds)
+    at = segments.select(F.col("start_key").alias("_start"), F.col("region_id").alias("first"))
+    until = segments.select(F.col("start_key").alias("_end"), (F.col("region_id") - 1).alias("last"))
+    met = ranges.join(at, F.coalesce("start", F.lit("")) == F.col("_start")).join(until, F.col("end") == F.col("_end"), "left")
+    most = segments.agg(F.max("region_id").alias("most"))
+    met = met.join(F.broadcast(most)).withColumn("last", F.when(F.col("end").isNull(), F.col("most")).otherwise(F.coalesce("last", F.lit(0))))
+    met = met.filter("first <= last").select("range_id", F.explode(F.sequence("first", "last")).alias("region_id"))
+    located = lookup(live(table, now).select("key", "value"), segments)
+    first = Window.partitionBy("range_id").orderBy("key")
+    rows = located.join(met, "region_id").withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= each_limit)
+    return rows.select("range_id", "key", "value")
 
 
 def key_ttl(table: DataFrame, now: int) -> DataFrame:

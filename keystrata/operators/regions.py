@@ -2,46 +2,65 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds without a heartbeat after which a store counts as disconnected or down.
 DISCONNECTED_S, DOWN_S = 30, 30 * 60
-#: Ranges that may be broadcast; more are met through coarse blocks.
-BROADCAST_REGIONS = 10_000
-COARSE = 256
+#: Bytes of boundaries that are broadcast; of a larger set, a sample of so many bytes forms blocks.
+BROADCAST_BYTES = 8 << 20
 
 
 def regions_from(boundaries: DataFrame) -> DataFrame:
     """Ranges (region_id, start_key, end_key) between sorted distinct boundaries (key); the ends are open.
 
-    Region metadata is small next to the data: one row for about a hundred megabytes.
+    Region metadata is small next to the data, one row for about a hundred megabytes, so one task
+    numbers it: a million rows for a hundred terabytes.
     """
     starts = boundaries.select(F.col("key").alias("start_key")).distinct().unionByName(boundaries.sparkSession.createDataFrame([("",)], "start_key string"))
     in_order = Window.orderBy("start_key")
     return starts.select(F.row_number().over(in_order).alias("region_id"), "start_key", F.lead("start_key").over(in_order).alias("end_key"))
 
 
-def _inside(key: str) -> Column:
-    return (F.col(key) >= F.col("start_key")) & (F.col("end_key").isNull() | (F.col(key) < F.col("end_key")))
+def _placed(rows: DataFrame, key: str, starts: list[tuple[str, int]], into: str) -> DataFrame:
+    """Rows with the number of the last start at or before their key, by binary search in the sorted starts."""
+    sent = rows.sparkSession.sparkContext.broadcast(([s.encode() for s, _ in starts], [n for _, n in starts]))
+
+    @F.arrow_udf("long")
+    def place(keys: pa.Array) -> pa.Array:
+        bounds, numbers = sent.value
+        found = [bisect_right(bounds, k.encode()) - 1 if k is not None else -1 for k in keys.to_pylist()]
+        return pa.array([numbers[i] if i >= 0 else None for i in found], pa.int64())
+
+    return rows.withColumn(into, place(F.col(key)))
 
 
 def lookup(keys: DataFrame, regions: DataFrame, key: str = "key") -> DataFrame:
-    """Every key with the id of its region.
+    """Every key with the id of its region; keys before the first region or null are left out.
 
-    Up to BROADCAST_REGIONS, regions are broadcast and compared. A larger set is first cut into
-    COARSE blocks at boundaries of equal rank; keys find their block among these few boundaries,
-    and block and range join them with their region.
+    Up to BROADCAST_BYTES of boundaries are sent to the tasks, which search them. Of a larger set a
+    hashed sample of boundaries is sent, which cuts keys and regions into blocks; within a block, in
+    the order of keys and boundaries, each key takes the boundary before it.
     """
-    if regions.count() <= BROADCAST_REGIONS:
-        return keys.join(F.broadcast(regions.select("region_id", "start_key", "end_key")), _inside(key)).drop("start_key", "end_key")
-    ranked = regions.withColumn("block", F.ntile(COARSE).over(Window.orderBy("start_key"))).select("region_id", "start_key", "end_key", "block")
-    blocks = ranked.groupBy("block").agg(F.min("start_key").alias("low"))
-    cut = blocks.withColumn("high", F.lead("low").over(Window.orderBy("block")))
-    placed = keys.join(F.broadcast(cut), (F.col(key) >= F.col("low")) & (F.col("high").isNull() | (F.col(key) < F.col("high")))).drop("low", "high")
-    return placed.join(ranked, (placed["block"] == ranked["block"]) & _inside(key)).drop("block", "start_key", "end_key")
+    n_bytes = regions.agg(F.coalesce(F.sum(F.octet_length("start_key") + 16), F.lit(0))).first()[0]
+    if n_bytes <= BROADCAST_BYTES:
+        starts = sorted((r["start_key"].encode(), r["start_key"], r["region_id"]) for r in regions.select("start_key", "region_id").collect())
+        placed = _placed(keys, key, [(s, n) for _, s, n in starts], "region_id")
+        return placed.filter(F.col("region_id").isNotNull())
+    one_of = -(-2 * n_bytes // BROADCAST_BYTES)
+    least = regions.agg(F.min("start_key")).first()[0]
+    sample = regions.filter((F.pmod(F.xxhash64("start_key"), F.lit(one_of)) == 0) | (F.col("start_key") == least)).select("start_key").distinct().collect()
+    starts = [(r["start_key"], i) for i, r in enumerate(sorted(sample, key=lambda r: r["start_key"].encode()))]
+    bounds = _placed(regions.select(F.col("start_key").alias("_at"), F.col("region_id").cast("bigint").alias("_id")), "_at", starts, "_block")
+    rows = _placed(keys.withColumn("_at", F.col(key)), "_at", starts, "_block").filter(F.col("_block").isNotNull())
+    both = rows.unionByName(bounds, allowMissingColumns=True)
+    before = Window.partitionBy("_block").orderBy(F.col("_at"), F.col("_id").isNull())
+    found = both.withColumn("region_id", F.last("_id", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.filter(F.col("_id").isNull()).drop("_at", "_block", "_id")
 
 
 def sizes(located: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

@@ -1,6 +1,8 @@
 """Transaction transitions as set operations: a request table in, a status for each request out.
 
 Errors are values of the column ``status``. A request batch has each key once per transaction.
+The apply_ functions give the state after such a batch: new locks and write records, as tables
+that can be written as the next version. Requests that fail change nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.functions.timestamps import expired
+from keystrata.operators.mvcc import snapshot
 
+#: Columns of a write record; others of a table of records are null in those that a transition adds.
+RECORD = ("user_key", "commit_ts", "start_ts", "write_type", "short_value")
 #: Fixed limits of the protocol.
 ONE_PC_MUTATIONS, ONE_PC_BYTES, ASYNC_KEYS, SHORT_VALUE = 64, 256 << 10, 256, 255
 
@@ -183,3 +188,97 @@ def overlay(visible: DataFrame, buffer: DataFrame, key: str = "user_key") -> Dat
 def oldest_lock(locks: DataFrame) -> DataFrame:
     """One row: greatest and least start timestamps of locks."""
     return locks.agg(F.max("start_ts").alias("max_ts"), F.min("start_ts").alias("min_lock_ts"))
+
+
+def _without(locks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Locks but those of (user_key, start_ts)."""
+    return locks.join(gone.select("user_key", "start_ts"), ["user_key", "start_ts"], "left_anti").select(locks.columns)
+
+
+def _with_records(writes: DataFrame, records: DataFrame) -> DataFrame:
+    """Write records and new ones; one that is there already, of the same key and timestamps, isn't added."""
+    new = records.select(*RECORD).join(writes.select("user_key", "commit_ts", "start_ts"), ["user_key", "commit_ts", "start_ts"], "left_anti")
+    return writes.unionByName(new, allowMissingColumns=True)
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """Rollback records of (user_key, start_ts): a mark at the start timestamp."""
+    return rows.select("user_key", F.col("start_ts").alias("commit_ts"), "start_ts", F.lit("R").alias("write_type"), F.lit(None).alias("short_value")).distinct()
+
+
+def apply_prewrite(mutations: DataFrame, locks: DataFrame, writes: DataFrame, ttl: int = 3000) -> DataFrame:
+    """Locks after prewriting mutations (user_key, start_ts, op, primary_key, value)."""
+    new = new_locks(prewrite(mutations, locks, writes))
+    ahead = {"lock_type": F.col("op"), "ttl": F.lit(ttl).cast("bigint"), "for_update_ts": F.lit(0).cast("bigint"), "min_commit_ts": F.col("start_ts") + 1}
+    return locks.unionByName(new.withColumns(ahead).drop("op", "long_value"), allowMissingColumns=True)
+
+
+def apply_commit(requests: DataFrame, locks: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Locks and write records after committing (user_key, start_ts, commit_ts).
+
+    A committed lock goes and leaves a record with its type and short value; a pessimistic lock
+    goes without one.
+    """
+    done = commit(requests, locks).filter(F.col("status").isin("committed", "unlocked")).select("user_key", "start_ts", "commit_ts", "status")
+    held = locks.select("user_key", "start_ts", "lock_type", "short_value")
+    records = done.filter("status = 'committed'").join(held, ["user_key", "start_ts"]).withColumnRenamed("lock_type", "write_type")
+    return _without(locks, done), _with_records(writes, records)
+
+
+def apply_rollback(requests: DataFrame, locks: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Locks and write records after rolling back (user_key, start_ts): own locks go, a mark forbids a later prewrite."""
+    judged = rollback(requests, locks, writes).filter("status = 'rolled_back'")
+    return _without(locks, judged.filter("drops_lock")), _with_records(writes, _marks(judged))
+
+
+def apply_check_with_cleanup(requests: DataFrame, locks: DataFrame, writes: DataFrame, now_ts: Column, roll_back_missing: bool) -> tuple[DataFrame, DataFrame]:
+    """Locks and write records after check_with_cleanup: expired and, if asked for, missing transactions are rolled back."""
+    late = check_with_cleanup(requests, locks, writes, now_ts, roll_back_missing).filter(F.col("status").isin("expired_rolled_back", "missing_rolled_back"))
+    return _without(locks, late), _with_records(writes, _marks(late))
+
+
+def apply_resolve(locks: DataFrame, outcomes: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Locks and write records after the outcomes (start_ts, commit_ts; 0: roll back) of many transactions."""
+    decided = resolve(locks, outcomes).filter("status <> 'commit_ts_too_small'")
+    records = decided.filter("status = 'committed'").withColumnRenamed("lock_type", "write_type")
+    marks = _marks(decided.filter("status = 'rolled_back'"))
+    return _without(locks, decided), _with_records(_with_records(writes, records), marks)
+
+
+def apply_one_pc(mutations: DataFrame, locks: DataFrame, writes: DataFrame, max_ts: int) -> DataFrame:
+    """Write records after one-phase commit of (user_key, start_ts, op, value): those of whole transactions, no locks."""
+    done = one_pc(mutations, locks, writes, max_ts).filter("status = 'committed'").select("start_ts", "commit_ts")
+    return _with_records(writes, mutations.join(done, "start_ts").select("user_key", "commit_ts", "start_ts", F.col("op").alias("write_type"), F.col("value").alias("short_value")))
+
+
+def apply_pessimistic_prewrite(mutations: DataFrame, locks: DataFrame, writes: DataFrame) -> DataFrame:
+    """Locks after a prewrite of (user_key, start_ts, is_pessimistic, op, value): own pessimistic locks get its type and value."""
+    up = pessimistic_prewrite(mutations, locks, writes).filter("status = 'upgraded'").select("user_key", "start_ts", F.col("op").alias("_op"), F.col("value").alias("_value"))
+    rows = locks.join(up, ["user_key", "start_ts"], "left")
+    changed = {"lock_type": F.coalesce("_op", "lock_type"), "short_value": F.when(F.col("_op").isNotNull(), F.col("_value")).otherwise(F.col("short_value"))}
+    return rows.withColumns(changed).select(locks.columns)
+
+
+def apply_pessimistic_rollback(requests: DataFrame, locks: DataFrame) -> DataFrame:
+    """Locks without the pessimistic ones that the requests remove."""
+    return _without(locks, pessimistic_rollback(requests, locks))
+
+
+def transfer(accounts: DataFrame, transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Locks and write records after a batch of transfers (start_ts, source, target, amount) in two phases.
+
+    accounts are write records whose short value is a balance. A transfer reads both balances at its
+    start, prewrites both keys and commits them at start_ts + 1. Of transfers that meet on a key the
+    earliest wins there; one that doesn't win both keys, or lacks an account, is rolled back whole.
+    """
+    sides = transfers.filter("source <> target").select("start_ts", F.explode(F.array(F.struct(F.col("source").alias("user_key"), (-F.col("amount")).alias("change")), F.struct(F.col("target").alias("user_key"), F.col("amount").alias("change")))).alias("s"), F.col("source").alias("primary_key"))
+    sides = sides.select("start_ts", "primary_key", "s.*")
+    balances = snapshot(accounts).select("user_key", F.col("short_value").alias("balance"))
+    asked = sides.join(balances, "user_key")
+    earliest = asked.groupBy("user_key").agg(F.min("start_ts").alias("winner"))
+    asked = asked.join(earliest, "user_key").withColumns({"op": F.lit("P"), "value": F.col("balance") + F.col("change")})
+    held = accounts.limit(0).select("user_key", F.lit("").alias("lock_type"), F.lit("").alias("primary_key"), "start_ts", *[F.lit(0).cast("bigint").alias(c) for c in ("ttl", "for_update_ts", "min_commit_ts")], "short_value")
+    locks = apply_prewrite(asked.filter("start_ts = winner").select("user_key", "start_ts", "op", "primary_key", "value"), held, accounts)
+    whole = locks.groupBy("start_ts").agg(F.count(F.lit(1)).alias("n"))
+    outcomes = whole.select("start_ts", F.when(F.col("n") == 2, F.col("start_ts") + 1).otherwise(0).cast("bigint").alias("commit_ts"))
+    return apply_resolve(locks, outcomes, accounts)

@@ -65,7 +65,7 @@ def _record(spark, sf_dir):
 
 def _conflicts(bypass, spark, sf_dir):
     locks = _locks(spark, sf_dir)
-    skipped = [r[0] for r in locks.orderBy("start_ts").limit(5).select("start_ts").collect()] if bypass else []
+    skipped = locks.orderBy("start_ts").limit(5).select("start_ts") if bypass else ()
     return M.lock_conflicts(locks, 20000, skipped).select("user_key", "start_ts", "lock_type")
 
 
@@ -87,7 +87,7 @@ def _load_lock(spark, sf_dir):
 
 
 def _of_txn(spark, sf_dir):
-    top = _locks(spark, sf_dir).agg(F.max("start_ts")).first()[0]
+    top = _locks(spark, sf_dir).agg(F.max("start_ts").alias("start_ts"))
     return M.locks_of(_locks(spark, sf_dir), top).select("user_key", "start_ts")
 
 

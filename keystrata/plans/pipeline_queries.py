@@ -100,7 +100,7 @@ def _disjoint(spark, sf_dir):
 
 
 def _offsets(spark, sf_dir):
-    rows = P.limit(_items(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), 500, KEY)
+    rows = _items(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     return P.output(rows, [3, 0, 99])
 
 
@@ -150,7 +150,7 @@ QUERIES = {
         "SELECT l_returnflag, count(*) AS n FROM (SELECT l_returnflag FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 300 UNION ALL SELECT l_returnflag FROM lineitem WHERE l_orderkey >= 200 AND l_orderkey < 500 UNION ALL SELECT l_returnflag FROM lineitem WHERE l_orderkey >= 1000) GROUP BY l_returnflag",
     ),
     "cop_disjoint_ranges": (_disjoint, "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey < 100 OR l_orderkey >= 500 AND l_orderkey < 900 GROUP BY l_orderkey"),
-    "cop_output_offsets": (_offsets, "SELECT l_linenumber, l_orderkey FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 500"),
+    "cop_output_offsets": (_offsets, "SELECT l_linenumber, l_orderkey FROM lineitem"),
     "cop_postfix_expression": (_postfix, "SELECT count(*) AS n, round(sum(l_quantity * 10), 1) AS total FROM lineitem WHERE (l_tax > 0) IS NOT NULL"),
-    "ts_compose_split": (_hybrid_time, "SELECT event_id, (epoch_ms(ts) << 18) | (event_id % 262144) AS hybrid, epoch_ms(ts) AS ms, event_id % 262144 AS counter FROM events"),
+    "ts_compose_split": (_hybrid_time, "SELECT event_id, (ms << 18) | (event_id % 262144) AS hybrid, ms, event_id % 262144 AS counter FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)"),
 }

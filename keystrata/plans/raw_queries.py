@@ -40,9 +40,7 @@ def _batch_scan(spark, sf_dir):
 
 
 def _put(spark, sf_dir):
-    customers = read(spark, sf_dir, "customer")
-    batch = customers.select(byte_key(F.col("c_custkey") % 1200).alias("key"), F.col("c_mktsegment").alias("value"), F.col("c_nationkey").cast("bigint").alias("ttl"), F.col("c_custkey").alias("seq"))
-    return R.batch_put(_t(spark, sf_dir), batch, NOW)
+    return R.batch_put(_t(spark, sf_dir), _batch(spark, sf_dir), NOW)
 
 
 def _delete(spark, sf_dir):
@@ -68,7 +66,30 @@ def _cas(spark, sf_dir):
 
 
 def _checksum(spark, sf_dir):
-    return R.checksum(_t(spark, sf_dir), NOW, LOW, HIGH).select("total_kvs", "total_bytes")
+    return R.checksum(_t(spark, sf_dir), NOW, LOW, HIGH)
+
+
+def _batch(spark, sf_dir):
+    customers = read(spark, sf_dir, "customer")
+    return customers.select(byte_key(F.col("c_custkey") % 1200).alias("key"), F.col("c_mktsegment").alias("value"), F.col("c_nationkey").cast("bigint").alias("ttl"), F.col("c_custkey").alias("seq"))
+
+
+def _changes(spark, sf_dir):
+    return R.put_changes(_batch(spark, sf_dir), NOW).unionByName(R.delete_changes(_keys(spark, sf_dir)))
+
+
+def _family(spark, sf_dir):
+    table = _t(spark, sf_dir)
+    families = {"default": R.live(table, NOW), "archive": table.filter(F.col("value").startswith("F"))}
+    parts = [R.in_family(families, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name or "default").alias("family"), "n") for name in (None, "archive")]
+    return parts[0].unionByName(parts[1])
+
+
+def _many_ranges(spark, sf_dir):
+    """A range for each part: overlapping ones, whose number grows with the tables."""
+    part, at = read(spark, sf_dir, "part"), F.col("p_partkey") * 7
+    ranges = part.select(F.col("p_partkey").alias("range_id"), byte_key(at).alias("start"), byte_key(at + F.col("p_size") * 20).alias("end"))
+    return R.batch_scan(_t(spark, sf_dir), ranges, 5, NOW)
 
 
 _IN = f"key >= '{LOW}' AND key < '{HIGH}'"
@@ -99,5 +120,16 @@ QUERIES = {
         f"""WITH {T}, r AS (SELECT lpad(p_partkey::VARCHAR, 12, '0') AS key, CASE WHEN p_size > 25 THEN 'O|1-URGENT' END AS expected, p_brand AS value FROM part)
         SELECT r.key, r.value, live.value AS previous, live.value IS NOT DISTINCT FROM expected AS success FROM r LEFT JOIN live USING (key)""",
     ),
-    "raw_checksum": (_checksum, f"WITH {T} SELECT count(*) AS total_kvs, sum(strlen(key) + strlen(value))::BIGINT AS total_bytes FROM live WHERE {_IN}"),
+    "raw_checksum": (_checksum, None),
+    "raw_changes": (
+        _changes,
+        """WITH p AS (SELECT lpad((c_custkey % 1200)::VARCHAR, 12, '0') AS key, arg_max(c_mktsegment, c_custkey) AS value, arg_max(c_nationkey, c_custkey) AS ttl FROM customer GROUP BY 1)
+        SELECT 'put' AS op, key, value, CASE WHEN ttl > 0 THEN 500 + ttl END AS expire_ts FROM p UNION ALL SELECT DISTINCT 'delete', lpad(p_partkey::VARCHAR, 12, '0'), NULL, NULL FROM part""",
+    ),
+    "raw_family": (_family, f"WITH {T} SELECT 'default' AS family, count(*) AS n FROM live UNION ALL SELECT 'archive', count(*) FROM t WHERE value LIKE 'F%'"),
+    "raw_many_ranges": (
+        _many_ranges,
+        f"""WITH {T}, r AS (SELECT p_partkey AS range_id, lpad((p_partkey * 7)::VARCHAR, 12, '0') AS a, lpad((p_partkey * 7 + p_size * 20)::VARCHAR, 12, '0') AS b FROM part)
+        SELECT range_id, key, value FROM r JOIN live ON key >= a AND key < b QUALIFY row_number() OVER (PARTITION BY range_id ORDER BY key) <= 5""",
+    ),
 }

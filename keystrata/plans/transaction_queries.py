@@ -124,6 +124,57 @@ def _overlay(spark, sf_dir):
     return T.overlay(seen, buffer).orderBy("user_key").limit(120)
 
 
+def _two_sides(locks, writes):
+    """Locks and write records in one table."""
+    left = locks.select(F.lit("lock").alias("side"), "user_key", "start_ts", F.lit(None).cast("bigint").alias("commit_ts"), F.col("lock_type").alias("kind"), "short_value")
+    return left.unionByName(writes.select(F.lit("write").alias("side"), "user_key", "start_ts", "commit_ts", F.col("write_type").alias("kind"), "short_value"))
+
+
+def _apply_commit(spark, sf_dir):
+    locks, writes = _state(spark, sf_dir)
+    requests = locks.filter("start_ts % 3 <> 0").select("user_key", "start_ts", (F.col("start_ts") + 5 * (F.col("start_ts") % 4)).alias("commit_ts"))
+    return _two_sides(*T.apply_commit(requests, locks, writes))
+
+
+def _apply_rollback(spark, sf_dir):
+    return _two_sides(*T.apply_rollback(_asked(spark, sf_dir), *_state(spark, sf_dir)))
+
+
+def _apply_resolve(spark, sf_dir):
+    locks, writes = _state(spark, sf_dir)
+    outcomes = locks.select("start_ts", F.when(F.col("start_ts") % 4 == 1, F.lit(0)).otherwise(F.col("start_ts") + F.col("start_ts") % 3).alias("commit_ts"))
+    return _two_sides(*T.apply_resolve(locks, outcomes, writes))
+
+
+def _apply_cleanup(spark, sf_dir):
+    now = F.shiftleft(F.lit(3080).cast("bigint"), 18)
+    return _two_sides(*T.apply_check_with_cleanup(_asked(spark, sf_dir), *_state(spark, sf_dir), now, True))
+
+
+def _apply_one_pc(spark, sf_dir):
+    locks, writes = _state(spark, sf_dir)
+    mutations = read(spark, sf_dir, "customer").select(byte_key("c_custkey").alias("user_key"), (F.col("c_custkey") % 300 * 50 + 1).alias("start_ts"), F.lit("P").alias("op"), F.col("c_acctbal").alias("value"))
+    return T.apply_one_pc(mutations, locks, writes, MAX_TS).select("user_key", "commit_ts", "start_ts", "write_type", "short_value")
+
+
+def _apply_pessimistic(spark, sf_dir):
+    locks, writes = _state(spark, sf_dir)
+    mutations = locks.select("user_key", "start_ts", F.lit(True).alias("is_pessimistic"), F.lit("P").alias("op"), F.lit(7.5).alias("value"))
+    return T.apply_pessimistic_prewrite(mutations, locks, writes).select("user_key", "start_ts", F.col("lock_type").alias("kind"), "short_value")
+
+
+def _transfers(spark, sf_dir):
+    """Accounts of 1000 for all customers, a transfer for each order; what the accounts hold before and after."""
+    accounts = read(spark, sf_dir, "customer").select(byte_key("c_custkey").alias("user_key"), F.lit(2).cast("bigint").alias("commit_ts"), F.lit(1).cast("bigint").alias("start_ts"), F.lit("P").alias("write_type"), F.lit(1000).cast("bigint").alias("short_value"))
+    orders = read(spark, sf_dir, "orders")
+    transfers = orders.select((F.lit(10) + 2 * F.col("o_orderkey")).alias("start_ts"), byte_key("o_custkey").alias("source"), byte_key(F.col("o_orderkey") % 997 + 1).alias("target"), (F.lit(1) + F.col("o_orderkey") % 50).alias("amount"))
+    locks, after = T.transfer(accounts, transfers)
+    total = lambda rows, name: M.snapshot(rows).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum("short_value").alias(f"total_{name}"), F.min("short_value").alias(f"least_{name}")).withColumn("_one", F.lit(1))
+    counts = after.agg(F.count_if((F.col("write_type") == "P") & (F.col("start_ts") > 1)).alias("n_committed"), F.count_if(F.col("write_type") == "R").alias("n_rolled_back")).withColumn("_one", F.lit(1))
+    left = locks.agg(F.count(F.lit(1)).alias("n_locks_left")).withColumn("_one", F.lit(1))
+    return total(accounts, "before").join(total(after, "after"), "_one").join(counts, "_one").join(left, "_one").drop("_one")
+
+
 def _oldest(spark, sf_dir):
     return T.oldest_lock(_state(spark, sf_dir)[0])
 
@@ -200,5 +251,52 @@ QUERIES = {
         f"""WITH {H}, b AS (SELECT lpad(p_partkey::VARCHAR, 12, '0') AS user_key, p_size > 25 AS put, p_retailprice AS value FROM part)
         SELECT * FROM (SELECT user_key, short_value AS value FROM {visible(10000)} ANTI JOIN b USING (user_key) UNION ALL SELECT user_key, value FROM b WHERE put) ORDER BY user_key LIMIT 120""",
     ),
+    "txn_apply_commit": (
+        _apply_commit,
+        f"""{BASE}, c AS (SELECT user_key, start_ts, start_ts + 5 * (start_ts % 4) AS commit_ts, lock_type, short_value, start_ts + 5 * (start_ts % 4) >= min_commit_ts AS fine FROM locks WHERE start_ts % 3 <> 0)
+        SELECT 'lock' AS side, user_key, start_ts, NULL::BIGINT AS commit_ts, lock_type AS kind, short_value FROM locks WHERE (user_key, start_ts) NOT IN (SELECT (user_key, start_ts) FROM c WHERE fine)
+        UNION ALL SELECT 'write', user_key, start_ts, commit_ts, write_type, short_value FROM writes
+        UNION ALL SELECT 'write', user_key, start_ts, commit_ts, lock_type, short_value FROM c WHERE fine AND lock_type <> 'S'""",
+    ),
+    "txn_apply_rollback": (
+        _apply_rollback,
+        f"""{BASE}, {REC_SQL}, {Q_SQL}, x AS (SELECT DISTINCT q.user_key, q.start_ts FROM q ANTI JOIN r USING (user_key, start_ts))
+        SELECT 'lock' AS side, user_key, start_ts, NULL::BIGINT AS commit_ts, lock_type AS kind, short_value FROM locks ANTI JOIN x USING (user_key, start_ts)
+        UNION ALL SELECT 'write', user_key, start_ts, commit_ts, write_type, short_value FROM writes UNION ALL SELECT 'write', user_key, start_ts, start_ts, 'R', NULL FROM x""",
+    ),
+    "txn_apply_resolve": (
+        _apply_resolve,
+        f"""{BASE}, o AS (SELECT *, CASE WHEN start_ts % 4 = 1 THEN 0 ELSE start_ts + start_ts % 3 END AS decided FROM locks), d AS (SELECT * FROM o WHERE decided = 0 OR decided >= min_commit_ts)
+        SELECT 'lock' AS side, user_key, start_ts, NULL::BIGINT AS commit_ts, lock_type AS kind, short_value FROM o WHERE NOT (decided = 0 OR decided >= min_commit_ts)
+        UNION ALL SELECT 'write', user_key, start_ts, commit_ts, write_type, short_value FROM writes
+        UNION ALL SELECT 'write', user_key, start_ts, CASE WHEN decided = 0 THEN start_ts ELSE decided END, CASE WHEN decided = 0 THEN 'R' ELSE lock_type END, CASE WHEN decided > 0 THEN short_value END FROM d WHERE decided = 0 OR lock_type <> 'S'""",
+    ),
+    "txn_apply_cleanup": (
+        _apply_cleanup,
+        f"""{STATUS_SQL}, x AS (SELECT DISTINCT user_key, start_ts FROM s WHERE own AND 3080 >= (start_ts >> 18) + ttl OR status = 'unknown')
+        SELECT 'lock' AS side, user_key, start_ts, NULL::BIGINT AS commit_ts, lock_type AS kind, short_value FROM locks ANTI JOIN x USING (user_key, start_ts)
+        UNION ALL SELECT 'write', user_key, start_ts, commit_ts, write_type, short_value FROM writes UNION ALL SELECT 'write', user_key, start_ts, start_ts, 'R', NULL FROM x""",
+    ),
+    "txn_apply_1pc": (
+        _apply_one_pc,
+        f"""{BASE}, {DATA_SQL}, x AS (SELECT lpad(c_custkey::VARCHAR, 12, '0') AS user_key, c_custkey % 300 * 50 + 1 AS start_ts, c_acctbal AS value FROM customer),
+        p AS (SELECT x.*, l.start_ts IS NOT NULL AND l.start_ts <> x.start_ts OR l.start_ts IS NULL AND coalesce(newest_ts > x.start_ts, false) AS bad FROM x LEFT JOIN locks l USING (user_key) LEFT JOIN d USING (user_key)),
+        g AS (SELECT start_ts FROM p GROUP BY start_ts HAVING count(*) <= 64 AND NOT bool_or(bad))
+        SELECT user_key, commit_ts, start_ts, write_type, short_value FROM writes UNION ALL SELECT user_key, greatest(start_ts + 1, {MAX_TS + 1}), start_ts, 'P', value FROM x JOIN g USING (start_ts)""",
+    ),
+    "txn_apply_pessimistic_prewrite": (
+        _apply_pessimistic,
+        f"WITH {L} SELECT user_key, start_ts, CASE lock_type WHEN 'S' THEN 'P' ELSE lock_type END AS kind, CASE WHEN lock_type = 'S' THEN 7.5 ELSE short_value END AS short_value FROM locks",
+    ),
+    "txn_transfer_invariant": (
+        _transfers,
+        """WITH t AS (SELECT 10 + 2 * o_orderkey AS start_ts, o_custkey AS source, o_orderkey % 997 + 1 AS target, 1 + o_orderkey % 50 AS amount FROM orders WHERE o_custkey <> o_orderkey % 997 + 1),
+        s AS (SELECT start_ts, source AS k, -amount AS change FROM t UNION ALL SELECT start_ts, target, amount FROM t),
+        a AS (SELECT s.* FROM s JOIN customer ON c_custkey = k), w AS (SELECT k, min(start_ts) AS start_ts FROM a GROUP BY k),
+        l AS (SELECT a.* FROM a JOIN w USING (k, start_ts)), n AS (SELECT start_ts, count(*) AS n FROM l GROUP BY start_ts),
+        b AS (SELECT c_custkey, 1000 + coalesce(change, 0) AS balance FROM customer LEFT JOIN (SELECT l.* FROM l JOIN n USING (start_ts) WHERE n = 2) ON k = c_custkey)
+        SELECT count(*) AS n_before, (1000 * count(*))::BIGINT AS total_before, 1000::BIGINT AS least_before, count(*) AS n_after, sum(balance)::BIGINT AS total_after, min(balance)::BIGINT AS least_after,
+        (SELECT count(*) FROM l JOIN n USING (start_ts) WHERE n = 2) AS n_committed, (SELECT count(*) FROM l JOIN n USING (start_ts) WHERE n < 2) AS n_rolled_back, 0::BIGINT AS n_locks_left FROM b""",
+    ),
     "txn_max_ts": (_oldest, f"WITH {L} SELECT max(start_ts) AS max_ts, min(start_ts) AS min_lock_ts FROM locks"),
 }

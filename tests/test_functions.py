@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from keystrata.functions import codec as C
 from keystrata.functions.checksum import crc64, crc64_batch
 from keystrata.functions.timestamps import compose, expired, logical, physical
+from keystrata.streaming.chunks import chunk_sizes, chunks
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -47,6 +50,46 @@ def test_unsigned(spark):
     assert all(r.v == r.back for r in rows)
 
 
+@SLOW
+@given(values=st.lists(st.floats(allow_nan=False), min_size=1, max_size=30))
+def test_doubles_round_trip_and_order(spark, values):
+    values = [*values, 0.0, -1.5, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), 0.1, 1 / 3, 2.0**-1000, 1 - 2.0**-53]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    e = C.encode_float64(F.col("v"))
+    rows = df.select("v", e.alias("e"), C.decode_float64(e).alias("back")).collect()
+    assert all(r.v == r.back for r in rows)
+    bits = [struct.unpack(">Q", struct.pack(">d", r.v + 0.0))[0] for r in rows]
+    assert [bytes(r.e) for r in rows] == [((1 << 64) - 1 - b if b >> 63 else b ^ 1 << 63).to_bytes(8, "big") for b in bits]
+    assert [r.v for r in sorted(rows, key=lambda r: bytes(r.e))] == sorted(r.v for r in rows)
+
+
+@SLOW
+@given(values=st.lists(st.integers(-(1 << 63), (1 << 63) - 1), min_size=1, max_size=30))
+def test_varints_round_trip(spark, values):
+    values = [*values, 0, 1, -1, 127, 128, (1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    s, u = C.encode_varint(F.col("v")), C.encode_uvarint(F.col("v"))
+    rows = df.select("v", s.alias("s"), u.alias("u"), C.decode_varint(s).alias("back"), C.decode_uvarint(u).alias("unsigned")).collect()
+    assert all(r.v == r.back == r.unsigned for r in rows)
+    for r in rows:
+        number = sum((b & 127) << 7 * i for i, b in enumerate(r.u))
+        assert number == r.v % (1 << 64) and all(b >= 128 for b in r.u[:-1]) and r.u[-1] < 128
+        assert len(r.s) <= 1 + abs(r.v).bit_length() // 7
+
+
+def test_varints_reject_what_was_never_encoded(spark):
+    bad = [b"", b"\x80", b"\x01\x01", b"\xff" * 10, b"\x80" * 11]
+    df = spark.createDataFrame([(bytearray(v),) for v in bad], "v binary")
+    assert [r.d for r in df.select(C.decode_uvarint(F.col("v")).alias("d")).collect()] == [None] * len(bad)
+
+
+def test_chunk_sizes(spark):
+    for n in (0, 1, 32, 33, 1000, 5000):
+        rows = spark.range(n)
+        sizes = [r.n_rows for r in chunk_sizes(rows, "id").orderBy("chunk").collect()]
+        assert sizes == [len(c) for c in chunks(rows)]
+
+
 def test_timestamps(spark):
     ts = compose(F.lit(1700000000123), F.lit(77))
     row = spark.range(1).select(physical(ts).alias("p"), logical(ts).alias("l"), expired(ts, F.lit(3000), compose(F.lit(1700000003123), F.lit(0))).alias("late")).first()

@@ -45,8 +45,27 @@ def test_batch_scan(spark):
     t = _letters(spark, "abcdef")
     assert sorted(_keys(R.batch_scan(t, [("a", "c"), ("d", "f")], 10, NOW))) == ["a", "b", "d", "e"]
     assert sorted(_keys(R.batch_scan(t, [("a", "d"), ("d", "g")], 2, NOW))) == ["a", "b", "d", "e"]
+    many = R.batch_scan(t, [("a", "d"), (None, None), ("e", "b"), ("x", None), ("c", None)] * 400, 2, NOW)
+    got = {}
+    for r in many.collect():
+        got.setdefault(r.range_id, []).append(r.key)
+    assert {i % 5: sorted(x) for i, x in got.items()} == {0: ["a", "b"], 1: ["a", "b"], 4: ["c", "d"]} and len(got) == 1200
+
+
+def test_change_sets(spark):
+    puts = R.put_changes(spark.createDataFrame([("a", "x", 0, 1), ("a", "y", 5, 2)], "key string, value string, ttl bigint, seq bigint"), NOW)
+    gone = R.delete_changes(spark.createDataFrame([("b",), ("b",)], "key string"))
+    changes = puts.unionByName(gone)
+    assert sorted(map(tuple, changes.collect())) == [("delete", "b", None, None), ("put", "a", "y", NOW + 5)]
+    after = R.apply_changes(_letters(spark, "abc"), changes)
+    assert sorted(map(tuple, after.collect()), key=str) == [("a", "y", NOW + 5), ("c", "C", None)]
+
+
+def test_families(spark):
+    families = {"default": _letters(spark, "ab"), "other": _letters(spark, "xyz")}
+    assert R.in_family(families).count() == 2 and R.in_family(families, "other").count() == 3
     with pytest.raises(ValueError):
-        R.batch_scan(t, [("a", "b")] * (R.MAX_RANGES + 1), 1, NOW)
+        R.in_family(families, "none")
 
 
 def test_writes(spark):
@@ -88,7 +107,7 @@ def test_regions(spark, monkeypatch):
     keys = spark.createDataFrame([(k,) for k in "abcdef"], "key string")
     want = {"a": 1, "b": 1, "c": 2, "d": 2, "e": 3, "f": 3}
     assert {r.key: r.region_id for r in G.lookup(keys, regions).collect()} == want
-    monkeypatch.setattr(G, "BROADCAST_REGIONS", 1)
+    monkeypatch.setattr(G, "BROADCAST_BYTES", 20)
     assert {r.key: r.region_id for r in G.lookup(keys, regions).collect()} == want
     cut = G.split(regions.withColumn("version", F.lit(1)), spark.createDataFrame([(1, "b"), (3, "a")], "region_id int, key string"))
     assert sorted((r.start_key, r.end_key or "~", r.version) for r in cut.collect()) == [("", "b", 2), ("b", "c", 2), ("c", "e", 1), ("e", "~", 1)]

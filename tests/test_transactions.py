@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from keystrata.functions.timestamps import LOGICAL_BITS
+from keystrata.operators import mvcc as M
 from keystrata.operators import transactions as T
 
 LOCKS = "user_key string, lock_type string, primary_key string, start_ts bigint, ttl bigint, for_update_ts bigint, min_commit_ts bigint"
@@ -106,3 +107,62 @@ def test_transfers_keep_the_total(spark):
     buffer = accounts.join(deltas, "user_key").select("user_key", F.lit("put").alias("op"), (F.col("cents") + F.col("sum(delta)")).alias("cents"))
     after = T.overlay(accounts, buffer)
     assert after.agg(F.sum("cents")).first()[0] == 20000 and after.select("user_key").distinct().count() == 200
+
+
+def _held(spark, *rows):
+    return _locks(spark, *rows).withColumn("short_value", F.lit("v"))
+
+
+def _state(pair):
+    locks, writes = pair
+    return sorted((r.user_key, r.lock_type) for r in locks.collect()), sorted((r.user_key, r.commit_ts, r.start_ts, r.write_type, r.short_value) for r in writes.collect())
+
+
+def test_commits_and_rollbacks_change_the_state(spark):
+    locks = _held(spark, ("a", "P", 10), ("b", "D", 10), ("s", "S", 10), ("other", "P", 11))
+    none = _writes(spark, ("z", 5, 4, "P")).limit(0)
+    asked = _ask(spark, ("a", 10), ("b", 10), ("s", 10), ("other", 10), ("gone", 10), commit_ts=20)
+    assert _state(T.apply_commit(asked, locks, none)) == ([("other", "P")], [("a", 20, 10, "P", "v"), ("b", 20, 10, "D", "v")])
+    early = _ask(spark, ("a", 10), commit_ts=10)
+    assert _state(T.apply_commit(early, locks, none)) == ([("a", "P"), ("b", "D"), ("other", "P"), ("s", "S")], [])
+    left, marks = _state(T.apply_rollback(_ask(spark, ("a", 10), ("gone", 7)), locks, none))
+    assert left == [("b", "D"), ("other", "P"), ("s", "S")] and marks == [("a", 10, 10, "R", None), ("gone", 7, 7, "R", None)]
+    done = _writes(spark, ("a", 20, 10, "P"))
+    assert _state(T.apply_rollback(_ask(spark, ("a", 10)), locks.limit(0), done)) == ([], [("a", 20, 10, "P", "v")])
+    outcomes = spark.createDataFrame([(10, 30), (11, 0)], "start_ts bigint, commit_ts bigint")
+    assert _state(T.apply_resolve(locks, outcomes, none)) == ([], [("a", 30, 10, "P", "v"), ("b", 30, 10, "D", "v"), ("other", 11, 11, "R", None)])
+
+
+def test_prewrite_commit_read(spark):
+    accounts = _writes(spark, ("a", 2, 1, "P"), ("b", 2, 1, "P"))
+    asked = _ask(spark, ("a", 10), ("c", 10)).withColumns({"op": F.lit("P"), "primary_key": F.lit("a"), "value": F.lit("new")})
+    locks = T.apply_prewrite(asked, _held(spark, ("x", "P", 1)).limit(0), accounts)
+    assert sorted((r.user_key, r.start_ts, r.short_value) for r in locks.collect()) == [("a", 10, "new"), ("c", 10, "new")]
+    left, writes = T.apply_commit(_ask(spark, ("a", 10), ("c", 10), commit_ts=20), locks, accounts)
+    assert left.count() == 0
+    assert {r.user_key: r.short_value for r in M.snapshot(writes, 20).collect()} == {"a": "new", "b": "v", "c": "new"}
+    assert {r.user_key: r.short_value for r in M.snapshot(writes, 19).collect()} == {"a": "v", "b": "v"}
+
+
+def test_one_phase_and_pessimistic_state(spark):
+    none = _writes(spark, ("z", 50, 4, "P"))
+    asked = _ask(spark, ("a", 10), ("b", 10), ("z", 11), ("c", 11)).withColumns({"op": F.lit("P"), "value": F.lit("n")})
+    after = T.apply_one_pc(asked, _held(spark, ("x", "P", 1)), none, 99)
+    assert sorted((r.user_key, r.commit_ts) for r in after.collect()) == [("a", 100), ("b", 100), ("z", 50)]
+    locks = _held(spark, ("a", "S", 10), ("b", "P", 10), ("c", "S", 12))
+    up = _ask(spark, ("a", 10), is_pessimistic=True, op="D", value="w")
+    assert sorted((r.user_key, r.lock_type, r.short_value) for r in T.apply_pessimistic_prewrite(up, locks, none).collect()) == [("a", "D", "w"), ("b", "P", "v"), ("c", "S", "v")]
+    gone = _ask(spark, ("a", 10), ("c", 12), for_update_ts=0)
+    assert [r.user_key for r in T.apply_pessimistic_rollback(gone, locks).collect()] == ["b"]
+    expired_at = F.shiftleft(F.lit(5000).cast("bigint"), LOGICAL_BITS)
+    assert _state(T.apply_check_with_cleanup(_ask(spark, ("b", 10)), locks, none.limit(0), expired_at, True)) == ([("a", "S"), ("c", "S")], [("b", 10, 10, "R", None)])
+
+
+def test_transfers_keep_the_sum(spark):
+    accounts = spark.createDataFrame([(k, 2, 1, "P", 100) for k in "abcde"], "user_key string, commit_ts bigint, start_ts bigint, write_type string, short_value bigint")
+    asked = [(10, "a", "b", 30), (12, "b", "c", 50), (14, "c", "d", 20), (16, "e", "nobody", 5), (18, "d", "d", 7)]
+    locks, after = T.transfer(accounts, spark.createDataFrame(asked, "start_ts bigint, source string, target string, amount bigint"))
+    balances = {r.user_key: r.short_value for r in M.snapshot(after).collect()}
+    # 12 loses b to 10, 14 loses c to 12, 16 has no partner.
+    assert balances == {"a": 70, "b": 130, "c": 100, "d": 100, "e": 100} and locks.count() == 0
+    assert sorted((r.user_key, r.start_ts) for r in after.filter("write_type = 'R'").collect()) == [("c", 12), ("d", 14), ("e", 16)]

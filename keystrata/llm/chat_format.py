@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import stored
+from keystrata.llm.shared import scratch, stored
 
 #: A call is {"id", "name", "arguments"}, a result {"id", "content"}, each JSON between these marks in a text.
 CALL_MARKS = ("<tool_call>", "</tool_call>")
@@ -116,7 +116,8 @@ def format_chat(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     rich = base.filter((F.size("raw_calls") > 0) | (F.size("raw_results") > 0))
     out = plain.select("conv", "turn", "role", "text", *[F.lit(0).cast("long").alias(n) for n in ("n_calls", "n_results", "n_invalid")], F.lit(None).cast(_CALLS).alias("calls"))
     if not rich.isEmpty():
-        out = out.unionByName(_with_calls(stored(rich, "chat-rich"), schemas))
+        with scratch(conversations.sparkSession):
+            out = out.unionByName(stored(_with_calls(stored(rich, "chat-rich"), schemas), "chat-result", keep=True))
     calls = F.transform(
         "calls",
         lambda c: F.concat(
@@ -205,7 +206,8 @@ def with_derived_calls(conversations: DataFrame) -> DataFrame:
 
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     """Canonical lines of all conversations, with tool calls derived from their rows."""
-    schemas = spark.createDataFrame(list(SCHEMAS), "tool string, argument string, type string, required boolean")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("tool", "argument", "type", "required"), x, strict=True)]) for x in SCHEMAS]
+    schemas = spark.range(1).select(F.inline(F.array(*rows)))
     return format_chat(with_derived_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")), schemas)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import stored
+from keystrata.llm.shared import scratch, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     in one place. Self-links, repeated links and both directions are allowed; null ends are
     ignored. No edges: no rows.
     """
+    with scratch(edges.sparkSession):
+        return stored(_contracted(edges), "components", keep=True)
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     both = edges.filter("a is not null and b is not null").select("a", "b")
     links = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = links.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()

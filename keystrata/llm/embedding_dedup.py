@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.components import connected_components
-from keystrata.llm.shared import bounded_batches, stored
+from keystrata.llm.shared import bounded_batches, scratch, stored
 
 #: Least cosine of a link.
 COSINE = 0.98
@@ -122,6 +122,18 @@ def find_near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     most = F.array_max(F.transform(v, F.abs))
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & (most > 0), F.lit(False))
     rows = rows.withColumn("key", F.when(valid, F.xxhash64(v)))
+    with scratch(spark):
+        of_class = stored(_classes(rows, cosine, block_rows), "vector-result", keep=True)
+    out = rows.join(of_class, ["label", "key", "v"], "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+    )
+
+
+def _classes(rows: DataFrame, cosine: float, block_rows: int) -> DataFrame:
+    """Rows (label, key, v, n_links, component_id): one for each distinct vector of a label."""
+    most = F.array_max(F.transform("v", F.abs))
     classes = rows.filter(F.col("key").isNotNull()).groupBy("label", "key", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     # Divided by its largest component first, a vector's square neither overflows nor vanishes.
     scaled = classes.withColumn("u", F.transform("v", lambda x: x / most))
@@ -155,12 +167,7 @@ def find_near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     counted = found.groupBy("rep").agg(F.sum("n_linked").alias("n_linked"))
     roots = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = classes.select("label", "key", "v", "rep", "n").join(counted, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select("label", "key", "v", (F.col("n") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("id", "label", "key", "v").join(of_class, ["label", "key", "v"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
-    )
+    return of_class.select("label", "key", "v", (F.col("n") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.components import connected_components
-from keystrata.llm.shared import bounded_batches, fresh, stored, words_of
+from keystrata.llm.shared import bounded_batches, fresh, scratch, stored, words_of
 
 #: Words of a shingle, and the least weighted Jaccard similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -29,9 +29,11 @@ _SLICES = 64
 SMALL = 24
 #: Rows and bytes of shingles that one side of a block holds on average.
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
-#: So many of the largest buckets, if above so many rows, reach their rows by broadcast, 40 bytes each;
-#: any other bucket holds at most one in HOT_BUCKETS of all rows and is joined by its key.
+#: Up to so many buckets reach their rows by broadcast, 40 bytes each. Of more, the largest do, if above so
+#: many rows; any other bucket holds at most one in HOT_BUCKETS of all rows and is joined by its key.
 HOT_BUCKETS, HOT_ROWS = 1 << 16, 64
+#: So many ids, 8 bytes each, may be broadcast to find their texts; more are joined.
+BROADCAST_IDS = 1 << 20
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 #: Words of a text that are hashed at once; a longer text goes piece by piece.
@@ -262,8 +264,9 @@ def _key(samples: str, band: int) -> Column:
     return F.xxhash64(F.lit(band), F.substring(samples, band * size + 1, size))
 
 
-def _vectors(docs: DataFrame, sent) -> DataFrame:
-    """Rows (id, shingles, weights) as binary."""
+def _vectors(docs: DataFrame, ids: DataFrame, n: int, sent) -> DataFrame:
+    """Rows (id, shingles, weights) as binary of some documents; texts are only shuffled to more than BROADCAST_IDS of n ids."""
+    docs = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.distinct(), "id", "left_semi")
 
     @F.arrow_udf("shingles binary, weights binary")
     def weigh(texts: pa.Array) -> pa.Array:
@@ -311,8 +314,8 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, sent) -> Dat
     two = signed.select(F.col("id").alias("b"), F.col("samples").alias("samples_b"))
     likely = pairs.join(one, "a").join(two, "b").filter(_agreement("samples_a", "samples_b") >= LIKELY)
     likely = stored(likely.select("a", "b"), "dedup-likely")
-    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    vectors = stored(_vectors(docs.join(ends, "id", "left_semi"), sent), "dedup-vectors")
+    ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    vectors = stored(_vectors(docs, ends, 2 * likely.count(), sent), "dedup-vectors")
     one = vectors.select(F.col("id").alias("a"), F.col("shingles").alias("s"), F.col("weights").alias("w"))
     two = vectors.select(F.col("id").alias("b"), F.col("shingles").alias("s2"), F.col("weights").alias("w2"))
     found = likely.join(one, "a").join(two, "b").filter(_similarities("s", "w", "s2", "w2") >= SIMILARITY)
@@ -320,7 +323,9 @@ def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, sent) -> Dat
 
 
 def _with_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Rows joined with their bucket (key, n rows, ...); a hot bucket's rows aren't dealt out by its key."""
+    """Rows joined with their bucket (key, n rows, ...; a written table); a hot bucket's rows aren't dealt out by its key."""
+    if buckets.count() <= HOT_BUCKETS:
+        return rows.join(F.broadcast(buckets), "key")
     hot = stored(buckets.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "key").limit(HOT_BUCKETS), "dedup-hot")
     keys = F.broadcast(hot.select("key"))
     rest = rows.join(keys, "key", "left_anti").join(buckets.join(keys, "key", "left_anti"), "key")
@@ -341,7 +346,7 @@ def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     small = rows.join(buckets.filter(F.col("n") <= SMALL).select("key"), "key").select("key", "id", "component")
     mate = small.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
     pairs = small.join(mate, "key").filter("id < b and component <> component_b").select(F.col("id").alias("a"), "b")
-    buckets = buckets.filter(F.col("n") > SMALL)
+    buckets = stored(buckets.filter(F.col("n") > SMALL), "dedup-large-buckets")
     large = stored(_with_buckets(rows.select("key", "id"), buckets), "dedup-large")
     starred = large.select("id", F.explode(F.array_distinct(F.array("pivot", "other"))).alias("p")).filter("id <> p")
     pairs = pairs.unionByName(starred.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
@@ -351,10 +356,11 @@ def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _rest(large: DataFrame, buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """After the pivots: pairs of the few that hang apart in a large bucket, and rows of those where many do."""
     heads = labels.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
-    heads = buckets.join(heads, "pivot", "left").select("key", "n", F.coalesce("main", "pivot").alias("main"))
+    heads = stored(buckets.join(heads, "pivot", "left").select("key", "n", F.coalesce("main", "pivot").alias("main")), "dedup-heads")
     rows = _with_buckets(_labelled(large, labels), heads).withColumn("apart", F.col("component") != F.col("main"))
     rows = stored(rows.select("key", "id", "component", "apart"), "dedup-rest")
     count = rows.groupBy("key").agg(F.sum(F.col("apart").cast("long")).alias("n_apart"), F.count(F.lit(1)).alias("n")).filter("n_apart > 0")
+    count = stored(count, "dedup-counts")
     rows = stored(_with_buckets(rows, count), "dedup-apart")
     few = rows.filter(F.col("n_apart") <= SMALL).select("key", "id", "component", "apart")
     alone = few.filter("apart").groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("b"), F.col("component").alias("component_b"))).alias("mates"))  # SMALL at most
@@ -389,10 +395,10 @@ def _blocks(rows: DataFrame, signed: DataFrame, docs: DataFrame, sent) -> DataFr
 
     There are as many chunks as rows or bytes of shingles demand, so long documents make blocks of fewer rows.
     """
-    vectors = stored(_vectors(docs.join(rows.select("id").distinct(), "id", "left_semi"), sent), "dedup-vectors")
+    vectors = stored(_vectors(docs, rows.select("id"), rows.count(), sent), "dedup-vectors")
     sized = stored(rows.join(vectors.select("id", (F.octet_length("shingles") + F.octet_length("weights")).alias("bytes")), "id"), "dedup-sized")
     chunks = sized.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).alias("chunks"))
-    cut = _with_buckets(sized.drop("bytes"), chunks).withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks")))
+    cut = _with_buckets(sized.drop("bytes"), stored(chunks, "dedup-chunks")).withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     cut = cut.select("key", "id", "component", "chunk", every.alias("mate"))
     pair = {"x": F.least("chunk", "mate"), "y": F.greatest("chunk", "mate"), "side": (F.col("chunk") > F.col("mate")).cast("int")}
@@ -433,26 +439,30 @@ def _repeats(source: DataFrame) -> bool:
 
 def _classes(source: DataFrame) -> DataFrame:
     """Rows (id, class_id) of all texts with words; ids of source are there once each."""
+    bounded_batches(source.sparkSession)
+    with scratch(source.sparkSession):
+        return stored(_linked_classes(source), "dedup-result", keep=True)
+
+
+def _linked_classes(source: DataFrame) -> DataFrame:
     spark = source.sparkSession
-    bounded_batches(spark)
     sent = spark.sparkContext.broadcast(document_frequencies(source))
     every = stored(_signed(source, sent), "dedup-samples")
     copies = every.filter("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.min("samples").alias("samples"))
     signed = stored(copies.select("fp", F.col("rep").alias("id"), "samples"), "dedup-classes")
-    texts = source.join(signed.select("id"), "id", "left_semi")
     alone = signed.select("id", F.col("id").alias("component")).limit(0)
     rows = signed.select("id", F.explode(F.array(*[_key("samples", band) for band in range(BANDS)])).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     rows = stored(rows.join(shared, "key"), "dedup-rows")
     pairs, large, buckets = _pairs(_labelled(rows, alone))
-    links = _verified(pairs, signed, texts, sent)
+    links = _verified(pairs, signed, source, sent)
     labels = connected_components(links)
     if not large.isEmpty():
         pairs, many = _rest(large, buckets, labels)
-        links = links.unionByName(_verified(pairs, signed, texts, sent))
+        links = links.unionByName(_verified(pairs, signed, source, sent))
         labels = connected_components(links)
         if not many.isEmpty():
-            links = links.unionByName(_blocks(_labelled(many.drop("component"), labels), signed, texts, sent))
+            links = links.unionByName(_blocks(_labelled(many.drop("component"), labels), signed, source, sent))
             labels = connected_components(links)
     of_class = signed.select("fp", "id").join(labels, "id", "left").select("fp", F.coalesce("component", "id").alias("class_id"))
     return every.select("id", "fp").join(of_class, "fp").select("id", "class_id")
@@ -480,7 +490,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = texts.select("key", "id", "digest").join(classes, "key", "left").withColumn("class_id", F.coalesce("class_id", "key"))
     classes = stored(classes, "dedup-texts")
     first = F.min(F.struct("id", "digest", "key"))
-    heads = classes.groupBy("class_id").agg(first.alias("head"))
+    heads = classes.groupBy("class_id").agg(first.alias("head"))  # of each class one row: the least is combined before the shuffle
     heads = classes.join(heads, "class_id").select(F.col("id").alias(named), F.col("digest").alias(digest), F.col("head.id").alias(at), (F.col("key") == F.col("head.key")).alias(to))
     same = (F.col(own) == F.col(named)) & F.sha2(F.col(text_col), 256).eqNullSafe(F.col(digest))
     return rows.join(heads, same, "left").withColumn(to, F.coalesce(to, F.lit(True))).select(*docs.columns, at, to)

@@ -146,6 +146,7 @@ def pack_documents(
             yield from packer.flush()
         packer.pack(last=True)
         yield from packer.flush()
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = stored(rows.mapInArrow(pack, PIECES), "packed-pieces")

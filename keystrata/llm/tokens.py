@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Parts of words whose ids one worker keeps; then it starts anew, so its memory is bounded.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 300_000
 #: Characters of texts that are encoded at once, and parts that make one text for the library.
 _GROUP_CHARS, _TOGETHER = 1 << 20, 8192
 #: Printable ASCII and Latin-1 letters, without what a tokenizer may join across kinds of characters.

@@ -163,3 +163,18 @@ def test_op1(spark, sf_dir):
         listed = ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in base)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) - {""} <= set(r.spans.split(","))
     assert not texts
+
+
+def test_op1_counts_each_kind(spark, sf_dir, tmp_path):
+    """Several spans of each kind in one text, in any order; letters beyond ASCII match no keyword."""
+    hexes, access = "deadbeef" * 4, "AKIA" + "Q7XW2ZLM9PRT4KVB"
+    texts = [_noise(i) for i in range(400, 500)] + [None, "", f"{hexes} {hexes} token=abcdefgh {access}", f"token=abcdefgh Secret: '{hexes}' API_KEY=\"abcdefgh", f"{access} {access} {access}", "to\u212aen=abcdefgh \u017fecret=abcdefgh ap\u0131key=abcdefgh", "token=abcdefg AKIA123 0123abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ascii_only = [re.compile(S.ASSIGN, re.ASCII), *PATTERNS[1:]]
+    got = {r.doc_id: r for r in S.op1_secret_scan(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        found = sorted((m.start(), k, m.end()) for k, p in enumerate(ascii_only) for m in p.finditer(text or "") if len(m[2] if k == 0 else m[0]) >= (8, 16, 32)[k])
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == kind for _, k, _ in found) for kind in range(3)], text
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in found).encode()).hexdigest(), text

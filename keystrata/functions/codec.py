@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 #: Fixed by the format: bytes of a group, and the marker of a full one.
 GROUP, FULL = 8, 0xFF
+#: Hexadecimal digits of a group.
+_DIGITS = 2 * GROUP
+#: The sign bit of a bigint.
+SIGN = -(1 << 63)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row.
+
+    Lambdas also keep the columns beside them out of one long generated method, which the JVM wouldn't compile.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _long(value: int) -> Column:
+    return F.lit(str(value)).cast("bigint")
 
 
 def _hex16(value: Column) -> Column:
@@ -20,7 +41,7 @@ def _inverted(binary: Column) -> Column:
 
 def encode_int64(value: Column) -> Column:
     """Eight bytes, big-endian, with the sign bit flipped."""
-    return F.unhex(_hex16(value.cast("bigint").bitwiseXOR(F.lit(f"-{1 << 63}").cast("bigint"))))
+    return F.unhex(_hex16(value.cast("bigint").bitwiseXOR(_long(SIGN))))
 
 
 def encode_int64_desc(value: Column) -> Column:
@@ -29,8 +50,7 @@ def encode_int64_desc(value: Column) -> Column:
 
 def decode_int64(binary: Column) -> Column:
     """Inverse of encode_int64; null unless there are eight bytes."""
-    unsigned = F.conv(F.hex(binary), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
-    return F.when(F.octet_length(binary) == 8, unsigned.cast("bigint"))
+    return F.when(F.octet_length(binary) == 8, F.conv(F.hex(binary), 16, -10).cast("bigint").bitwiseXOR(_long(SIGN)))
 
 
 def decode_int64_desc(binary: Column) -> Column:
@@ -51,25 +71,30 @@ def encode_bytes(binary: Column) -> Column:
 
     A full last group is followed by an empty one, so that no encoding is a prefix of another.
     """
-    groups = F.sequence(F.lit(0), F.floor(F.octet_length(binary) / GROUP).cast("int"))
 
-    def group(i: Column) -> Column:
-        part = F.hex(F.substring(binary, i * GROUP + 1, F.lit(GROUP)))
-        marker = F.lit(FULL) - GROUP + F.length(part) / 2
-        return F.concat(F.rpad(part, 2 * GROUP, "0"), F.lpad(F.hex(marker.cast("bigint")), 2, "0"))
+    def marked(digits: Column) -> Column:
+        size = (F.length(digits) / 2).cast("int")
+        before = F.floor(size / GROUP).cast("int") * _DIGITS  # digits of full groups
+        full = F.when(size >= GROUP, F.regexp_replace(F.substring(digits, F.lit(1), before), f"(.{{{_DIGITS}}})", f"$1{FULL:X}")).otherwise("")
+        rest = F.rpad(F.substring(digits, before + 1, F.lit(_DIGITS)), _DIGITS, "0")
+        return F.unhex(F.concat(full, rest, F.hex((size % GROUP + FULL - GROUP).cast("bigint"))))
 
-    return F.unhex(F.array_join(F.transform(groups, group), ""))
+    return _let(F.hex(binary), marked)
 
 
 def decode_bytes(binary: Column) -> Column:
     """Inverse of encode_bytes; null for what it can't have produced."""
-    size = F.octet_length(binary)
-    groups = F.sequence(F.lit(0), (size / (GROUP + 1)).cast("int") - 1)
-    marker = lambda i: F.conv(F.hex(F.substring(binary, i * (GROUP + 1) + GROUP + 1, F.lit(1))), 16, 10).cast("int")
-    kept = lambda i: marker(i) - FULL + GROUP
-    part = F.transform(groups, lambda i: F.hex(F.substring(binary, i * (GROUP + 1) + 1, F.greatest(kept(i), F.lit(0)))))
-    decoded = F.unhex(F.array_join(part, ""))
-    return F.when((size > 0) & (size % (GROUP + 1) == 0) & encode_bytes(decoded).eqNullSafe(binary), decoded)
+    digits, size = F.hex(binary), F.octet_length(binary)
+    joined = F.when(size > GROUP + 1, F.regexp_replace(digits, f"\\G(.{{{_DIGITS}}}){FULL:X}", "$1")).otherwise(digits)  # the last marker stays
+
+    def unmarked(j: Column) -> Column:
+        before = (F.floor(size / (GROUP + 1)).cast("int") - 1) * _DIGITS
+        kept = F.position(F.substring(j, -1, 1), F.lit("789ABCDE")) - 1  # bytes of the last group
+        padding = F.substring(j, before + 2 * kept + 1, _DIGITS - 2 * kept)
+        good = (size > 0) & (size % (GROUP + 1) == 0) & (F.length(j) == before + _DIGITS + 2) & (F.substring(j, -2, 1) == "F") & (kept >= 0) & (F.translate(padding, "0", "") == "")
+        return F.when(good, F.unhex(F.substring(j, F.lit(1), before + 2 * kept)))
+
+    return _let(joined, unmarked)
 
 
 def encode_bytes_desc(binary: Column) -> Column:
@@ -80,43 +105,27 @@ def decode_bytes_desc(binary: Column) -> Column:
     return decode_bytes(_inverted(binary))
 
 
+@F.arrow_udf(LongType())
+def _bits(doubles: pa.Array) -> pa.Array:
+    """IEEE 754 bits; zeros have no sign here, and there is one NaN, which sorts last."""
+    return pc.if_else(pc.is_nan(doubles), float("nan"), pc.add(doubles, 0.0)).view(pa.int64())
+
+
+@F.arrow_udf(DoubleType())
+def _of_bits(bits: pa.Array) -> pa.Array:
+    return bits.view(pa.float64())
+
+
 def encode_float64(value: Column) -> Column:
     """Eight bytes that sort as doubles do: all bits flipped below zero, else the sign bit."""
-    bits = F.conv(F.hex(_double_bytes(value)), 16, -10).cast("bigint")
-    flipped = F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(f"-{1 << 63}").cast("bigint")))
-    return F.unhex(_hex16(flipped))
-
-
-def _double_bytes(value: Column) -> Column:
-    """IEEE 754 bytes of a double, big-endian, by its exponent and fraction; zeros have no sign here, NaN sorts last."""
-    x, size = value.cast("double"), F.abs(value.cast("double"))
-    two = lambda n: F.pow(F.lit(2.0), n)
-    guess = F.greatest(F.floor(F.log2(size)).cast("int"), F.lit(-1022))
-    # A logarithm may be off by one next to a power of two.
-    exponent = F.when(two(guess) > size, guess - 1).when((guess < 1023) & (two(guess + 1) <= size), guess + 1).otherwise(guess)
-    exponent = F.greatest(exponent, F.lit(-1022))
-    small = size < F.lit(2.2250738585072014e-308)
-    scaled = F.when(exponent < -500, size * two(F.lit(600.0))).otherwise(size) / two(F.when(exponent < -500, exponent + 600).otherwise(exponent).cast("double"))
-    fraction = F.when(small, (size * two(F.lit(600.0)) * two(F.lit(474.0))).cast("bigint")).otherwise(((scaled - 1) * two(F.lit(52.0))).cast("bigint"))
-    biased = F.when(small, F.lit(0)).otherwise(exponent + 1023).cast("bigint")
-    bits = F.shiftleft(biased, 52).bitwiseOR(fraction)
-    whole = F.when(size == 0, F.lit(0).cast("bigint")).when(F.isnan(x), F.lit(0x7FF8 << 48).cast("bigint")).when(size == float("inf"), F.lit(0x7FF << 52).cast("bigint")).otherwise(bits)
-    signed = F.when((x < 0) & ~F.isnan(x), whole.bitwiseOR(F.lit(f"-{1 << 63}").cast("bigint"))).otherwise(whole)
-    return F.unhex(_hex16(signed))
+    bits = _bits(value.cast("double"))
+    return F.unhex(_hex16(bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseOR(_long(SIGN)))))
 
 
 def decode_float64(binary: Column) -> Column:
     """Inverse of encode_float64; null unless there are eight bytes."""
     number = decode_int64(binary)  # the sign bit is flipped back
-    bits = F.when(number >= 0, number).otherwise(F.bitwise_not(number.bitwiseXOR(F.lit(f"-{1 << 63}").cast("bigint"))))
-    low = bits.bitwiseAND(F.lit((1 << 63) - 1))
-    biased, fraction = F.shiftrightunsigned(low, 52).cast("int"), low.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
-    two = lambda n: F.pow(F.lit(2.0), n.cast("double"))
-    half = (biased - 1023) / 2  # in two steps, since one power of two may lie below all normal numbers
-    first = F.floor(half)
-    size = F.when(biased == 0, fraction * two(F.lit(-1022))).otherwise((1 + fraction) * two(first) * two(biased - 1023 - first))
-    whole = F.when(biased < 2047, size).when(fraction > 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
-    return F.when(F.octet_length(binary) == 8, F.when(bits < 0, -whole).otherwise(whole))
+    return _of_bits(number.bitwiseXOR(F.shiftright(number, 63).bitwiseAND(_long(~SIGN))))
 
 
 def encode_uvarint(value: Column) -> Column:
@@ -129,16 +138,15 @@ def encode_uvarint(value: Column) -> Column:
 def decode_uvarint(binary: Column) -> Column:
     """Inverse of encode_uvarint; null unless the bytes are one whole number of 64 bits."""
     size = F.octet_length(binary)
-    byte = lambda i: F.conv(F.hex(F.substring(binary, i + 1, 1)), 16, 10).cast("bigint")
-    total = F.lit(0).cast("bigint")
-    ends = F.lit(False)
+    number = lambda start, n: F.conv(F.rpad(F.hex(F.substring(binary, start, n)), 2 * n, "0"), 16, -10).cast("bigint")
+    head, tail = number(1, 8), number(9, 2)
+    byte = lambda i: F.shiftrightunsigned(head, 56 - 8 * i) if i < 8 else F.shiftrightunsigned(tail, 72 - 8 * i)  # noqa: E731 - and what stands before it
+    total, more = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for i in range(10):
-        total = total.bitwiseOR(F.when(size > i, F.shiftleft(byte(i).bitwiseAND(F.lit(127)), 7 * i)).otherwise(0))
-        ends = ends | ((size == i + 1) & (byte(i) < (2 if i == 9 else 128)))
-    more = F.lit(True)
-    for i in range(9):
-        more = more & ((size <= i + 1) | (byte(i) >= 128))
-    return F.when(ends & more, total)
+        total = total.bitwiseOR(F.shiftleft(byte(i).bitwiseAND(_long(127)), 7 * i))
+        more = more.bitwiseOR(F.shiftleft(F.shiftright(byte(i), 7).bitwiseAND(_long(1)), i))
+    whole = (size > 0) & (size <= 10) & (more + 1 == F.pow(F.lit(2.0), size - 1))
+    return F.when(whole & ((size < 10) | (byte(9).bitwiseAND(_long(255)) < 2)), total)
 
 
 def encode_varint(value: Column) -> Column:

@@ -16,8 +16,9 @@ def _codes(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem")
     number, price, text = F.col("l_orderkey") - 5000, F.col("l_extendedprice") - 30000, F.col("l_returnflag").cast("binary")
     codes = {"int64": C.encode_int64(number), "float64": C.encode_float64(price), "varint": C.encode_varint(number), "uvarint": C.encode_uvarint(F.col("l_orderkey")), "bytes": C.encode_bytes(text)}
-    back = {"int64_back": C.decode_int64(codes["int64"]), "float64_back": C.decode_float64(codes["float64"]), "varint_back": C.decode_varint(codes["varint"]), "uvarint_back": C.decode_uvarint(codes["uvarint"]), "bytes_back": C.decode_bytes(codes["bytes"]).cast("string")}
-    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", *[F.hex(c).alias(n) for n, c in codes.items()], *[c.alias(n) for n, c in back.items()])
+    coded = rows.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", *[c.alias(n) for n, c in codes.items()])
+    back = {"int64_back": C.decode_int64(F.col("int64")), "float64_back": C.decode_float64(F.col("float64")), "varint_back": C.decode_varint(F.col("varint")), "uvarint_back": C.decode_uvarint(F.col("uvarint")), "bytes_back": C.decode_bytes(F.col("bytes")).cast("string")}
+    return coded.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", *[F.hex(n).alias(n) for n in codes], *[c.alias(n) for n, c in back.items()])
 
 
 def _round_trip(spark, sf_dir):

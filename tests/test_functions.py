@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keystrata.functions import codec as C
 from keystrata.functions.checksum import crc64, crc64_batch
 from keystrata.functions.timestamps import compose, expired, logical, physical
+from keystrata.plans import codec_queries
 from keystrata.streaming.chunks import chunk_sizes, chunks
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -102,3 +103,29 @@ def test_crc64(spark):
     df = spark.createDataFrame([(bytearray(v),) for v in values] + [(None,)], "v binary")
     got = [r.c for r in df.select(crc64(F.col("v")).alias("c")).collect()]
     assert got == [int(crc64_batch([v])[0]) for v in values] + [None]
+
+
+def test_codes_are_computed_once_for_a_row(spark, sf_dir):
+    """Decoding refers to a code many times; the plan must not repeat how it is made each time."""
+    for name in ("codec_codes", "codec_round_trip"):
+        rows = codec_queries.QUERIES[name][0](spark, sf_dir)
+        assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
+def test_codes_of_many_groups(spark):
+    values = [bytes(range(256)) * k + b"\xff" * j for k in (0, 1, 40) for j in range(18)]
+    codes = [b"".join(v[i : i + 8].ljust(8, b"\0") + bytes([255 - 8 + len(v[i : i + 8])]) for i in range(0, len(v) + 1, 8)) for v in values]
+    bad = [c[:i] + bytes([c[i] ^ flip]) + c[i + 1 :] for c in (codes[8], codes[17], codes[20]) for i in range(len(c)) if i % 9 == 8 or i > len(c) - 4 for flip in (1, 2, 128)]
+    df = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values + codes + bad)], "i int, v binary")
+    rows = sorted(df.select("i", C.encode_bytes(F.col("v")).alias("e"), C.decode_bytes(F.col("v")).alias("d")).collect())
+    n = len(values)
+    assert [bytes(r.e) for r in rows[:n]] == codes and [bytes(r.d) for r in rows[n : 2 * n]] == values
+    known = dict(zip(codes, values, strict=True))
+
+    def decoded(c):
+        groups = [c[i : i + 9] for i in range(0, len(c), 9)]
+        v = b"".join(g[: max(g[8] - 247, 0)] for g in groups)
+        again = b"".join(v[i : i + 8].ljust(8, b"\0") + bytes([247 + len(v[i : i + 8])]) for i in range(0, len(v) + 1, 8))
+        return known.get(c, v if again == c else None)
+
+    assert [r.d and bytes(r.d) for r in rows[2 * n :]] == [decoded(c) for c in bad]

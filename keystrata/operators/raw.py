@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.checksum import crc64
 from keystrata.operators.pipeline import Bound, in_range
-from keystrata.operators.regions import lookup, regions_from
+from keystrata.operators.regions import BROADCAST_BYTES, cuts, located, lookup, regions_from
+
 
 def is_live(now: int) -> Column:
     """Not expired at `now`, in seconds."""
@@ -79,25 +80,40 @@ def scan(table: DataFrame, now: int, start: Bound = None, end: Bound = None, lim
 def batch_scan(table: DataFrame, ranges: DataFrame | Sequence[tuple[Bound, Bound]], each_limit: int, now: int) -> DataFrame:
     """The first each_limit live pairs of every range, with the range's number.
 
-    ranges: a table (range_id, start, end), null for open ends, or a list of (start, end). All their bounds
-    cut the keys into segments; each row finds its segment once and then meets the ranges that cover
-    it. Of each range, every task keeps each_limit rows before the shuffle, however many lie in it.
+    ranges: a table (range_id, start, end), null for open ends, or a list of (start, end). Of few ranges, the
+    bounds cut the keys into segments, and every task keeps each_limit rows of a segment before any shuffle. Then
+    keys and bounds are counted in order, and a range takes the keys of its positions: no range meets a key
+    that it doesn't return, however many overlap.
     """
     if not isinstance(ranges, DataFrame):
         rows = [(i, *bounds) for i, bounds in enumerate(ranges)]
         ranges = table.sparkSession.createDataFrame(rows, "range_id int, start string, end string")
-    bounds = ranges.select(F.explode(F.array("start", "end")).alias("key")).filter("key > ''").distinct()
-    segments = regions_from(bounds)
-    at = segments.select(F.col("start_key").alias("_start"), F.col("region_id").alias("first"))
-    until = segments.select(F.col("start_key").alias("_end"), (F.col("region_id") - 1).alias("last"))
-    met = ranges.join(at, F.coalesce("start", F.lit("")) == F.col("_start")).join(until, F.col("end") == F.col("_end"), "left")
-    most = segments.agg(F.max("region_id").alias("most"))
-    met = met.join(F.broadcast(most)).withColumn("last", F.when(F.col("end").isNull(), F.col("most")).otherwise(F.coalesce("last", F.lit(0))))
-    met = met.filter("first <= last").select("range_id", F.explode(F.sequence("first", "last")).alias("region_id"))
-    located = lookup(live(table, now).select("key", "value"), segments)
-    first = Window.partitionBy("range_id").orderBy("key")
-    rows = located.join(met, "region_id").withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= each_limit)
-    return rows.select("range_id", "key", "value")
+    pairs = live(table, now).filter(F.col("key").isNotNull()).select("key", "value")
+    bounds = ranges.select(F.explode(F.array("start", "end")).alias("key")).filter("key > ''")
+    rows = pairs
+    if bounds.agg(F.coalesce(F.sum(F.octet_length("key") + 16), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+        first = Window.partitionBy("region_id").orderBy("key")
+        rows = lookup(pairs, regions_from(bounds.distinct())).withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= each_limit).select("key", "value")
+    ends = ranges.select("range_id", F.coalesce("start", F.lit("")).alias("start"), "end")
+    asked = ends.select("*", F.explode(F.array("start", "end")).alias("key")).filter("key IS NOT NULL")
+    keys, bounds = _positions(rows, asked, cuts(pairs.select("key").unionByName(bounds)))
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    met = bounds.groupBy("range_id", "start", "end").agg(F.min(F.when(F.col("key") == F.col("start"), F.col("_at"))).alias("_from"), F.min(F.when(F.col("key") == F.col("end"), F.col("_at"))).alias("_to"))
+    until = F.least(F.col("_from") + each_limit, F.coalesce("_to", "_total"))
+    met = met.join(F.broadcast(total)).withColumn("_to", until).filter("_from < _to").select("range_id", F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_at"))
+    return keys.join(met, "_at").select("range_id", "key", "value")
+
+
+def _positions(keys: DataFrame, bounds: DataFrame, starts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with _at: how many of keys come before a row's key, counted in blocks that starts cut."""
+    both = located(keys.withColumn("_is_key", F.lit(1)).unionByName(bounds.withColumn("_is_key", F.lit(0)), allowMissingColumns=True), starts, "_block")
+    sizes = both.groupBy("_block").agg(F.sum("_is_key").alias("_n"))  # a row for each block
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    # Bounds come before an equal key, as ranges are half-open.
+    before = Window.partitionBy("_block").orderBy("key", "_is_key").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_at", F.sum("_is_key").over(before)).join(F.broadcast(base), "_block").withColumn("_at", F.col("_at") + F.col("_base") - F.col("_is_key"))
+    return counted.filter("_is_key = 1").select("key", "value", "_at"), counted.filter("_is_key = 0").select(*bounds.columns, "_at")
 
 
 def key_ttl(table: DataFrame, now: int) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 DISCONNECTED_S, DOWN_S = 30, 30 * 60
 #: Bytes of boundaries that are broadcast; of a larger set, a sample of so many bytes forms blocks.
 BROADCAST_BYTES = 8 << 20
+#: Rows of a block of keys that are counted in order, on average.
+BLOCK_ROWS = 1 << 16
 
 
 def regions_from(boundaries: DataFrame) -> DataFrame:
@@ -39,6 +41,17 @@ def _placed(rows: DataFrame, key: str, starts: list[tuple[str, int]], into: str)
     return rows.withColumn(into, place(F.col(key)))
 
 
+def cuts(keys: DataFrame) -> list[str]:
+    """Keys that cut a table into blocks: one of BLOCK_ROWS distinct ones, chosen by its hash, and the open start."""
+    found = keys.filter(F.pmod(F.xxhash64("key"), F.lit(BLOCK_ROWS)) == 0).select("key").distinct().collect()
+    return ["", *sorted((r["key"] for r in found if r["key"]), key=str.encode)]
+
+
+def located(rows: DataFrame, starts: list[str], into: str) -> DataFrame:
+    """Rows with the number of the block, between sorted starts, that holds their key."""
+    return _placed(rows, "key", [(s, i) for i, s in enumerate(starts)], into)
+
+
 def lookup(keys: DataFrame, regions: DataFrame, key: str = "key") -> DataFrame:
     """Every key with the id of its region; keys before the first region or null are left out.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,29 @@ def test_batch_scan(spark):
     assert {i % 5: sorted(x) for i, x in got.items()} == {0: ["a", "b"], 1: ["a", "b"], 4: ["c", "d"]} and len(got) == 1200
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_batch_scan_against_brute_force(spark, monkeypatch, few):
+    """Ranges that overlap, are empty, reversed, open or start at a key, over blocks of a few rows."""
+    monkeypatch.setattr(G, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 1 << 20 if few else 0)
+    keys = [f"{k:04d}" for k in range(0, 600, 3)] + ["é", "z", "🙂"]
+    bounds = [None, "", "0000", "0003", "0004", "0299", "0300", "0597", "0598", "y", "é", "🙂", "~"]
+    ranges = [(a, b) for a in bounds for b in bounds] * 2
+    t = _table(spark, *[(k, k * 2, None if i % 4 else NOW - 1 + i % 8) for i, k in enumerate(keys)], (None, "x", None))
+    alive = sorted((k for i, k in enumerate(keys) if i % 4 or i % 8 > 1), key=str.encode)
+    for limit in (1, 5, 1000):
+        want = sorted((i, k, k * 2) for i, (a, b) in enumerate(ranges) for k in [k for k in alive if k.encode() >= (a or "").encode() and (b is None or k.encode() < b.encode())][:limit])
+        assert sorted(map(tuple, R.batch_scan(t, ranges, limit, NOW).collect())) == want
+
+
+def test_ranges_meet_no_more_rows_than_they_return(spark):
+    """A thousand ranges over all keys meet the keys of their positions, not all keys of the segments that they cover."""
+    t = spark.range(20_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("key"), F.lit("v").alias("value"), F.lit(None).cast("bigint").alias("expire_ts"))
+    out = R.batch_scan(t, spark.range(1000).select(F.col("id").alias("range_id"), F.lit("000001").alias("start"), F.lit(None).cast("string").alias("end")), 3, NOW)
+    assert out.count() == 3000 and {r.key for r in out.select("key").distinct().collect()} == {"000001", "000002", "000003"}
+    assert not re.search(r"Join [^\n]*region_id", out._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_change_sets(spark):
     puts = R.put_changes(spark.createDataFrame([("a", "x", 0, 1), ("a", "y", 5, 2)], "key string, value string, ttl bigint, seq bigint"), NOW)
     gone = R.delete_changes(spark.createDataFrame([("b",), ("b",)], "key string"))

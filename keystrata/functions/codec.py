@@ -86,15 +86,11 @@ def decode_bytes(binary: Column) -> Column:
     """Inverse of encode_bytes; null for what it can't have produced."""
     digits, size = F.hex(binary), F.octet_length(binary)
     joined = F.when(size > GROUP + 1, F.regexp_replace(digits, f"\\G(.{{{_DIGITS}}}){FULL:X}", "$1")).otherwise(digits)  # the last marker stays
-
-    def unmarked(j: Column) -> Column:
-        before = (F.floor(size / (GROUP + 1)).cast("int") - 1) * _DIGITS
-        kept = F.position(F.substring(j, -1, 1), F.lit("789ABCDE")) - 1  # bytes of the last group
-        padding = F.substring(j, before + 2 * kept + 1, _DIGITS - 2 * kept)
-        good = (size > 0) & (size % (GROUP + 1) == 0) & (F.length(j) == before + _DIGITS + 2) & (F.substring(j, -2, 1) == "F") & (kept >= 0) & (F.translate(padding, "0", "") == "")
-        return F.when(good, F.unhex(F.substring(j, F.lit(1), before + 2 * kept)))
-
-    return _let(joined, unmarked)
+    before = (F.floor(size / (GROUP + 1)).cast("int") - 1) * _DIGITS
+    kept = F.position(F.substring(digits, -1, 1), F.lit("789ABCDE")) - 1  # bytes of the last group
+    padding = F.substring(joined, before + 2 * kept + 1, _DIGITS - 2 * kept)
+    marked = (F.length(joined) == before + _DIGITS + 2) & (F.substring(digits, -2, 1) == "F") & (kept >= 0) & (F.translate(padding, "0", "") == "")
+    return F.when((size > 0) & (size % (GROUP + 1) == 0) & marked, F.unhex(F.substring(joined, F.lit(1), before + 2 * kept)))
 
 
 def encode_bytes_desc(binary: Column) -> Column:
